@@ -113,11 +113,13 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str,
     meets exactly once and is then verified.  Feed distinct texts and words.
     """
     t, w = F.col(text), F.col(word_col)
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length(t) >= n,
-               F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: t.substr(i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(1, width + 1)])))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+        return F.when(F.length(t) >= n, F.transform(starts, lambda i: t.substr(i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, width + 1)])))
     left = texts.withColumn("_gram", F.explode(grams))
     right = words.filter(F.length(w) > 0).withColumn("_gram", F.substring(w, 1, width))
     return left.join(right, "_gram").filter(t.contains(w)).drop("_gram")

@@ -135,7 +135,7 @@ def publishers_gross(best: DataFrame, units: str, n: int = 25) -> DataFrame:
 def author_leaderboard(snapshots: DataFrame, n: int = 40) -> DataFrame:
     agg = snapshots.filter(F.col("author").isNotNull()).groupBy("author").agg(
         F.count(F.lit(1)).alias("listings"),
-        rnd(F.avg(F.when(C.paid(), F.col("price_cents") / 100.0)), 2).alias("avg_price"),
+        rnd(F.avg(F.when(C.paid(), F.col("price_cents"))) / 100.0, 2).alias("avg_price"),
         total("total_purchases").alias("sales"), total("last_month_purchases").alias("last_month"),
         rnd(F.avg("rating_stars"), 2).alias("avg_rating"), total("review_count").alias("reviews"))
     return top(agg.filter("sales > 0"), [desc("sales"), F.col("author")], n)

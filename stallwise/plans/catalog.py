@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_views", "q_columns", "q_market")
+MODULES = ("q_views", "q_columns", "q_market", "q_niches", "q_scoring")
 
 
 def load() -> None:

@@ -131,7 +131,7 @@ def agg_publishers_lastmo(spark, sf):
 
 
 @query("agg_author_leaderboard", f"""SELECT author, count(*) AS listings,
-    {rnd('avg(CASE WHEN price_cents > 0 THEN price_cents / 1e2 END)', 2)} AS avg_price, {SUM('total_purchases')} AS sales,
+    {rnd('avg(CASE WHEN price_cents > 0 THEN price_cents END) / 1e2', 2)} AS avg_price, {SUM('total_purchases')} AS sales,
     {SUM('last_month_purchases')} AS last_month, {rnd('avg(rating_stars)', 2)} AS avg_rating, {SUM('review_count')} AS reviews
     FROM listings WHERE author IS NOT NULL GROUP BY 1 HAVING sum(total_purchases) > 0 ORDER BY sales DESC, author LIMIT 40""")
 def agg_author_leaderboard(spark, sf):

@@ -75,7 +75,7 @@ VIEWS["scored"] = """SELECT *,
             CASE WHEN total_purchases IS NULL OR coalesce(pt, 0) = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, total_purchases / pt)) END AS nt,
             CASE WHEN last_month_purchases > 0 AND total_purchases > 0 AND last_month_purchases / total_purchases > 0.05e0
                  THEN least(1e0, ln(1e0 + 20e0 * (last_month_purchases / total_purchases))) ELSE 0e0 END AS bonus,
-            coalesce(least(1e0, price_cents / 1e2 / 5e2), 0.1e0) AS price,
+            CASE WHEN price_cents IS NULL THEN 0.1e0 ELSE least(1e0, price_cents / 1e2 / 5e2) END AS price,
             coalesce(rating_stars, 0e0) / 5e0 AS stars,
             CASE WHEN review_count > 0 AND total_purchases > 0 THEN least(0.4e0, 5e0 * (review_count / total_purchases)) ELSE 0e0 END AS sat
             FROM listings l, (SELECT quantile_cont(last_month_purchases, 0.9) AS pl, quantile_cont(review_count, 0.9) AS pr,

@@ -7,24 +7,42 @@ four runs are then unfolded from one row per part.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 RUN_COUNT = 4
 RUN_GAP_DAYS = 90
 AS_OF = "2024-01-31"
+_PLANS: dict[tuple, DataFrame] = {}
 
 
+def _planned(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keep the lazy plan of a view per session and folder; no data is held."""
+    @wraps(fn)
+    def get(spark: SparkSession, sf: str, *args, **kwargs) -> DataFrame:
+        key = (fn.__name__, spark.sparkContext.applicationId, id(spark), sf, args, tuple(kwargs.items()))
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf, *args, **kwargs)
+        return _PLANS[key]
+    return get
+
+
+@_planned
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _cap(lineitem: DataFrame, k: int) -> Column:
-    last = lineitem.agg(F.max("l_shipdate").cast("timestamp").alias("m")).scalar()
+def _last_ship(lineitem: DataFrame) -> Column:
+    return lineitem.agg(F.max("l_shipdate").cast("timestamp").alias("m")).scalar()
+
+
+def _cap(last: Column, k: int) -> Column:
     return last - F.expr(f"INTERVAL {k * RUN_GAP_DAYS} DAYS")
 
 
+@_planned
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     last = table(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("timestamp").alias("m"))
     k = F.explode(F.sequence(F.lit(0), F.lit(RUN_COUNT - 1))).alias("k")
@@ -34,14 +52,17 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_planned
 def snapshots(spark: SparkSession, sf: str, ks: Sequence[int] = (3, 2, 1, 0)) -> DataFrame:
     """Listing facts per run; ``ks`` are the runs to read, 0 being the latest (run pruning)."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    last = _last_ship(line)
+    line = line.select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag").withColumn("_last", last)
     ship, qty = F.col("l_shipdate").cast("timestamp"), F.col("l_quantity")
     ret = F.col("l_returnflag") == "R"
     aggs = []
     for k in ks:
-        cap = _cap(line, k)
+        cap = _cap(F.col("_last"), k)
         seen = ship <= cap
         recent = seen & (ship > cap - F.expr("INTERVAL 30 DAYS"))
         aggs += [
@@ -52,14 +73,14 @@ def snapshots(spark: SparkSession, sf: str, ks: Sequence[int] = (3, 2, 1, 0)) ->
     per_part = line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(*aggs)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     run = lambda k: F.struct(
-        F.lit(f"run-{RUN_COUNT - 1 - k}").alias("run_id"), _cap(line, k).alias("captured_at"),
+        F.lit(f"run-{RUN_COUNT - 1 - k}").alias("run_id"), _cap(F.col("_last"), k).alias("captured_at"),
         zero(f"n{k}").alias("n"), zero(f"q{k}").alias("q"), zero(f"m{k}").alias("m"), zero(f"mq{k}").alias("mq"),
         zero(f"r{k}").alias("r"), F.col(f"rq{k}").alias("rq"))
     key, size = F.col("p_partkey"), F.col("p_size")
     muted, bulk = key % 7 == 0, key % 3 == 0
     version = F.concat((16 + key % 4).cast("string"), F.lit(".0"))
     tech = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
-    unfolded = part.join(per_part, "p_partkey", "left").select(
+    unfolded = part.join(per_part, "p_partkey", "left").withColumn("_last", last).select(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
         F.explode(F.array(*[run(k) for k in ks])).alias("s"))
     return unfolded.select(
@@ -82,16 +103,19 @@ def snapshots(spark: SparkSession, sf: str, ks: Sequence[int] = (3, 2, 1, 0)) ->
     )
 
 
+@_planned
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the latest run only."""
     return snapshots(spark, sf, ks=(0,))
 
 
+@_planned
 def apps(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).groupBy("app_key", "tech_name", "version").agg(
         F.min("captured_at").alias("first_seen"), F.max("captured_at").alias("last_seen"))
 
 
+@_planned
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Forum posts: the first line of a document is the title, the whole text the body."""
     d = table(spark, sf, "documents")
@@ -104,6 +128,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("/p/"), F.col("doc_id").cast("string")).alias("permalink"))
 
 
+@_planned
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     return c.select(
@@ -114,6 +139,7 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int")).alias("created"))
 
 
+@_planned
 def videos(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     key = F.col("conv_id") * 1000 + F.col("turn")
@@ -123,6 +149,7 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 400).cast("int")), "yyyyMMdd").alias("upload_date"))
 
 
+@_planned
 def client_refs(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (partner, client) edges."""
     edge = (table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey")
@@ -134,6 +161,7 @@ def client_refs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_mktsegment").alias("client_industry"))
 
 
+@_planned
 def partners(spark: SparkSession, sf: str, with_clients: bool = True) -> DataFrame:
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     part = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 3).alias("s_suppkey"), "p_type")
@@ -160,6 +188,7 @@ def partners(spark: SparkSession, sf: str, with_clients: bool = True) -> DataFra
         (bal / 100).alias("balance"))
 
 
+@_planned
 def checkins(spark: SparkSession, sf: str) -> DataFrame:
     """One row per listing and check-in week, from its four runs."""
     by_app = W.partitionBy("app_key").orderBy("captured_at")
