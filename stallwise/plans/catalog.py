@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_views", "q_columns", "q_market", "q_niches", "q_scoring")
+MODULES = ("q_views", "q_columns", "q_market", "q_niches", "q_scoring", "q_validate", "q_backtest")
 
 
 def load() -> None:
