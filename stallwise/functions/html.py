@@ -9,6 +9,8 @@ HEADINGS = ("h1", "h2", "h3")
 # Tags that end an open paragraph, and those that end an open list item.
 _BLOCKS = frozenset("p div ul ol li table section article h1 h2 h3 h4 h5 h6 blockquote pre form".split())
 
+_LIST = "list"
+
 
 class PageReader(HTMLParser):
     """Collects the title, headings, paragraphs, list items and tag pills of one page."""
@@ -30,6 +32,8 @@ class PageReader(HTMLParser):
             self._close("p")
         if tag == "li":
             self._close("li")
+        if tag in ("ul", "ol"):
+            self._open.append((_LIST, []))
         classes = (dict(attrs).get("class") or "").split()
         if tag in ("div", "section") and self._in_industries:
             self._in_industries += 1
@@ -53,6 +57,9 @@ class PageReader(HTMLParser):
             self._label = None
         if tag in ("div", "section") and self._in_industries:
             self._in_industries -= 1
+        if tag in ("ul", "ol"):
+            self._close("li")
+            self._close(_LIST)
         if tag == "span":
             self._close("pill", "span")
         elif tag in ("a", "title", *HEADINGS, "p", "li"):
@@ -72,8 +79,13 @@ class PageReader(HTMLParser):
             self._close(self._open[-1][0])
 
     def _close(self, *names: str) -> None:
-        """End the innermost open element of these names, and all inside it."""
-        if not any(n in names for n, _ in self._open):
+        """End the innermost open element of these names and all inside it, but no list around it."""
+        for name, _ in reversed(self._open):
+            if name in names:
+                break
+            if name == _LIST and "li" in names:
+                return
+        else:
             return
         while True:
             name, parts = self._open.pop()

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+WORD_EDGE = r"[^\p{L}\p{N}_]"  # what may stand next to a whole word, in any script
 LITERAL_LIMIT = 2000  # keywords that may be compiled into one expression
 
 
@@ -48,6 +49,15 @@ def to_frame(spark: SparkSession, dim: Sequence[Niche], **types: str) -> DataFra
     return spark.createDataFrame([(i, n.label, *[n.attrs.get(a) for a in types]) for i, n in enumerate(dim)], ddl)
 
 
+def explode_once(df: DataFrame, out: str, array: Column) -> DataFrame:
+    """``explode`` that evaluates a costly array once.
+
+    For a plain explode the optimizer adds a filter on the array's size and so
+    computes it twice; the outer form is filtered on its result instead.
+    """
+    return df.withColumn(out, F.explode_outer(array)).filter(F.col(out).isNotNull())
+
+
 def any_of(tests: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -69,7 +79,9 @@ def joined_text(fields: Sequence[str]) -> Column:
 def word(fields: Sequence[str], keywords: Sequence[str]) -> Column:
     """Whole-word match on the joined fields; blanks in a keyword match any run of whitespace."""
     body = "|".join(r"\s+".join(re.escape(p) for p in k.lower().split()) for k in keywords)
-    return joined_text(fields).rlike(f"(^|[^a-z0-9_])({body})($|[^a-z0-9_])")
+    text = joined_text(fields)
+    # A cheap substring test keeps most rows away from the pattern.
+    return any_of(text.contains(k.lower().split()[0]) for k in keywords) & text.rlike(f"(^|{WORD_EDGE})({body})($|{WORD_EDGE})")
 
 
 def regex(fields: Sequence[str], patterns: Sequence[str]) -> Column:
@@ -93,7 +105,7 @@ def matched_labels(dim: Sequence[Niche], fields: Sequence[str], mode: str = "con
 def fan_out(df: DataFrame, dim: Sequence[Niche], fields: Sequence[str] = ("display_name", "summary"),
             mode: str = "contains", out: str = "label") -> DataFrame:
     """One row per (row, matching niche); a single scan of ``df``."""
-    return df.withColumn(out, F.explode(matched_labels(dim, fields, mode)))
+    return explode_once(df, out, matched_labels(dim, fields, mode))
 
 
 def keep_zero(agg: DataFrame, dim_frame: DataFrame, key: str = "label", zeros: Sequence[str] = ()) -> DataFrame:
@@ -120,6 +132,6 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str,
             F.array().cast("array<string>"))
 
     grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, width + 1)])))
-    left = texts.withColumn("_gram", F.explode(grams))
+    left = explode_once(texts, "_gram", grams)
     right = words.filter(F.length(w) > 0).withColumn("_gram", F.substring(w, 1, width))
     return left.join(right, "_gram").filter(t.contains(w)).drop("_gram")

@@ -12,16 +12,22 @@ from stallwise.functions.columns import rnd, safe_div, zero
 from stallwise.operators.market import desc, rank_within, top, total
 
 
-def tag_signals(posts: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
-    """``signals``: names of the patterns found in title and body, in the order given."""
+def tag_signals(posts: DataFrame, patterns: Mapping[str, str], needs: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``signals``: names of the patterns found in title and body, in the order given.
+
+    ``needs`` may name, per pattern, texts of which one occurs in every match; the
+    quick substring test then keeps other rows away from the pattern.
+    """
     text = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
     tagged = posts.withColumn("_text", text)
-    found = F.array_compact(F.array(*[F.when(F.col("_text").rlike(p), F.lit(n)) for n, p in patterns.items()]))
+    body = F.col("_text")
+    quick = lambda n: M.any_of(body.contains(w) for w in needs[n]) if needs and n in needs else F.lit(True)
+    found = F.array_compact(F.array(*[F.when(quick(n) & body.rlike(p), F.lit(n)) for n, p in patterns.items()]))
     return tagged.withColumn("signals", found).drop("_text")
 
 
 def signal_counts(tagged: DataFrame) -> DataFrame:
-    return tagged.select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    return M.explode_once(tagged.select("signals"), "signal", F.col("signals")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def relevant(posts: DataFrame, own: Sequence[str], terms: Sequence[str]) -> DataFrame:
@@ -39,7 +45,7 @@ def with_signal(tagged: DataFrame, signal: str) -> DataFrame:
 
 def top_by_signal(tagged: DataFrame, as_of: str, days: int, n: int) -> DataFrame:
     """The n most engaging recent posts of every signal, with their other tags."""
-    rows = recent(tagged, as_of, days).select("*", F.explode("signals").alias("signal")).withColumn("engagement", C.engagement())
+    rows = M.explode_once(recent(tagged, as_of, days), "signal", F.col("signals")).withColumn("engagement", C.engagement())
     best = rank_within(rows, ["signal"], [desc("engagement"), F.col("id")], n)
     return best.select("signal", "rank", "id", "engagement", F.date_format("first_seen", "yyyy-MM-dd").alias("day"),
                        F.array_join(F.array_remove(F.col("signals"), F.col("signal")), ",").alias("also"))
@@ -67,7 +73,7 @@ def themes(rows: DataFrame, text: str, dim: Sequence[M.Niche], order: Column, n:
     """Best n rows of every theme; a theme is any-of words, or a named condition in ``extra``."""
     tests = [F.when(M.contains([text], t.keywords), F.lit(t.label)) for t in dim]
     tests += [F.when(cond, F.lit(name)) for name, cond in (extra or {}).items()]
-    hits = rows.withColumn("theme", F.explode(F.array_compact(F.array(*tests))))
+    hits = M.explode_once(rows, "theme", F.array_compact(F.array(*tests)))
     return rank_within(hits, ["theme"], [order, F.col("id")], n)
 
 
@@ -94,7 +100,7 @@ def activity_window(rows: DataFrame, at: str) -> DataFrame:
 def token_freq(posts: DataFrame, stop: Sequence[str] = tuple(T.FORUM_STOPWORDS), n: int = 40) -> DataFrame:
     """Most frequent words of titles and whole bodies; counted map-side, stopwords leave after counting."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("selftext", F.lit(""))))
-    words = posts.select(F.explode(T.words(text, T.POST_TOKEN)).alias("token"))
+    words = M.explode_once(posts.select(text.alias("_t")), "token", T.words("_t", T.POST_TOKEN)).select("token")
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(~F.col("token").isin(sorted(stop)))
     return top(counts, [desc("n"), F.col("token")], n)
 
@@ -104,7 +110,7 @@ def terms_bigrams(rows: DataFrame, stop: Sequence[str] = tuple(T.TITLE_STOPWORDS
     clean = rows.select(T.title_terms("title", stop).alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     both = clean.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("w").alias("t")), F.struct(F.lit(1).alias("kind"), pairs.alias("t")))).alias("s"))
-    counts = both.select("s.kind", F.explode("s.t").alias("term")).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = M.explode_once(both.select("s.kind", "s.t"), "term", F.col("t")).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
     best = rank_within(counts, ["kind"], [desc("n"), F.col("term")], n, "_r").filter(F.col("n") >= min_count)
     return top(best.select("term", "n"), [desc("n"), F.col("term")], final)
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions.columns import rnd, safe_div
-from stallwise.operators import stats
+from stallwise.session import shared_dir
 
 # Viabilities the probability table is shown for.
 GRID = [35, 40, 42, 44, 46, 47, 48, 50, 52, 55, 60, 65]
@@ -27,15 +27,22 @@ def labelled(bt: DataFrame) -> DataFrame:
     return bt.withColumn("label", (F.col("total_purchases") >= 100).cast("int"))
 
 
-def counted(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*extra, *columns, "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
+def counted(bt: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows with their number ``w``, cut from the back-test's lineage: every fit reads it many times."""
+    shared_dir(bt.sparkSession)
+    return labelled(bt).groupBy(*extra, *columns, "label").agg(F.count(F.lit(1)).cast("double").alias("w")).checkpoint()
 
 
-def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def standardised(weighted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns shifted and scaled by mean and population deviation; a constant column becomes 0."""
-    moments = df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("s")).scalar()
-    scaled = lambda c: F.coalesce(safe_div(F.col(c) - moments.getField(f"m_{c}"), moments.getField(f"s_{c}")), F.lit(0.0))
-    return df.select(*[c for c in df.columns if c not in columns], *[scaled(c).alias(c) for c in columns])
+    w = F.col("w")
+    mean = lambda x: F.sum(w * x) / F.sum(w)
+    m = weighted.agg(*[mean(F.col(c)).alias(f"m_{c}") for c in columns], *[mean(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns]).first()
+
+    def scaled(c: str) -> Column:
+        var = m[f"q_{c}"] - m[f"m_{c}"] ** 2
+        return ((F.col(c) - F.lit(m[f"m_{c}"])) / F.lit(var ** 0.5 if var > 1e-9 else 1.0)).alias(c)
+    return weighted.select(*[c for c in weighted.columns if c not in columns], *[scaled(c) for c in columns])
 
 
 def fit(weighted: DataFrame, columns: Sequence[str]) -> LogisticRegressionModel:
@@ -56,14 +63,14 @@ def predict(model: LogisticRegressionModel, df: DataFrame, columns: Sequence[str
 
 def logistic_single(bt: DataFrame) -> DataFrame:
     """Success probability over the grid of viabilities."""
-    model = fit(counted(labelled(bt), ["viability"]), ["viability"])
+    model = fit(counted(bt, ["viability"]), ["viability"])
     grid = bt.sparkSession.createDataFrame([(v,) for v in GRID], "viability int")
     return predict(model, grid, ["viability"]).select("viability", rnd(F.col("p"), 4).alias("p"))
 
 
 def calibration(bt: DataFrame, bins: int = 6) -> DataFrame:
     """Mean predicted against observed rate in equal-width bins."""
-    w = counted(labelled(bt), ["viability"])
+    w = counted(bt, ["viability"])
     scored = predict(fit(w, ["viability"]), w, ["viability"])
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
     agg = scored.groupBy(b.alias("bin")).agg(F.sum("w").alias("n"), F.sum(F.col("p") * F.col("w")).alias("_p"), F.sum(F.col("label") * F.col("w")).alias("_y"))
@@ -79,22 +86,17 @@ def fold(key: str = "app_key", n: int = FOLDS) -> Column:
 
 def cv_auc(bt: DataFrame, components: Sequence[str]) -> DataFrame:
     """Mean and deviation of the held-out AUC, viability alone against all components."""
-    spark = bt.sparkSession
-    rows = labelled(bt).withColumn("fold", fold())
+    base = counted(bt.withColumn("fold", fold()), [*components, "viability"], ["fold"])
+    single = base.groupBy("fold", "viability", "label").agg(F.sum("w").alias("w"))
     out = []
-    for name, cols, data in (("single", ["viability"], rows), ("multi", list(components), standardised(rows, components))):
-        w = counted(data, cols, ["fold"]).persist()
-        try:
-            scores = []
-            for k in range(FOLDS):
-                model = fit(w.filter(F.col("fold") != k), cols)
-                held = predict(model, w.filter(F.col("fold") == k), cols)
-                scores.append(_weighted_auc(held))
-        finally:
-            w.unpersist()
+    for name, cols, w in (("single", ["viability"], single), ("multi", list(components), standardised(base, components))):
+        scores = []
+        for k in range(FOLDS):
+            model = fit(w.filter(F.col("fold") != k), cols)
+            scores.append(_weighted_auc(predict(model, w.filter(F.col("fold") == k), cols)))
         mean = sum(scores) / len(scores)
         out.append((name, mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5))
-    return spark.createDataFrame(out, "model string, mean_auc double, std_auc double")
+    return bt.sparkSession.createDataFrame(out, "model string, mean_auc double, std_auc double")
 
 
 def _weighted_auc(scored: DataFrame) -> float:
@@ -106,20 +108,18 @@ def _weighted_auc(scored: DataFrame) -> float:
 
 
 def component_importance(bt: DataFrame, components: Sequence[str]) -> DataFrame:
-    w = counted(standardised(labelled(bt), components), components)
-    model = fit(w, components)
+    model = fit(standardised(counted(bt, components), components), components)
     rows = [(c, float(v)) for c, v in zip(components, model.coefficients)]
     return bt.sparkSession.createDataFrame(rows, "component string, coefficient double").orderBy(F.col("coefficient").desc())
 
 
 def point_estimate(bt: DataFrame, components: Sequence[str], row: Sequence[int]) -> DataFrame:
     """Probability and lift of one feature row under the standardised model."""
-    data = labelled(bt)
-    both = counted(data, components).withColumn("probe", F.lit(False)).unionByName(
-        bt.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{c} int" for c in components)).selectExpr("*", "0 AS label", "0D AS w", "true AS probe"))
-    moments = data.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in components]).first()
-    scaled = both.select("label", "w", "probe", *[((F.col(c) - F.lit(moments[c]["m"])) / F.lit(moments[c]["s"] or 1.0)).alias(c) for c in components])
-    model = fit(scaled.filter("NOT probe"), components)
-    base = data.agg(F.avg("label")).first()[0]
-    return predict(model, scaled.filter("probe"), components).select(
-        rnd(F.col("p"), 4).alias("p"), rnd(F.lit(base), 4).alias("base_rate"), rnd(F.col("p") / F.nullif(F.lit(base), F.lit(0.0)), 3).alias("lift"))
+    w = counted(bt, components)
+    # The probe carries no weight, so it is scaled like the rest and moves nothing.
+    probe = bt.sparkSession.createDataFrame([(*row, 0, 0.0)], ", ".join(f"{c} int" for c in components) + ", label int, w double")
+    both = standardised(w.withColumn("probe", F.lit(False)).unionByName(probe.withColumn("probe", F.lit(True))), components)
+    model = fit(both.filter("NOT probe"), components)
+    base = w.agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("b")).first()[0]
+    return predict(model, both.filter("probe"), components).select(
+        rnd(F.col("p"), 4).alias("p"), rnd(F.lit(base), 4).alias("base_rate"), rnd(safe_div(F.col("p"), F.lit(base)), 3).alias("lift"))

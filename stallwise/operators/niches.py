@@ -114,7 +114,7 @@ def keyword_probe(listings: DataFrame, words: Sequence[Niche], rare: Sequence[Ni
 def wedge_rows(rows: DataFrame, predicates: dict[str, str]) -> DataFrame:
     """One row per (listing, wedge); predicates are SQL conditions, all tested in one scan."""
     tests = [F.when(F.coalesce(F.expr(p), F.lit(False)), F.lit(name)) for name, p in predicates.items()]
-    return rows.withColumn("wedge", F.explode(F.array_compact(F.array(*tests))))
+    return M.explode_once(rows, "wedge", F.array_compact(F.array(*tests)))
 
 
 def wedges(rows: DataFrame, predicates: dict[str, str]) -> DataFrame:

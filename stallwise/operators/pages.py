@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stallwise.functions.html import HEADINGS, read_page
+from stallwise.session import shared_dir
 
 EXTRACT = "page_id bigint, url string, title string, h1 array<string>, h2 array<string>, h3 array<string>, paragraphs array<string>, list_items array<string>"
 
@@ -112,6 +113,7 @@ def crawl_frontier(edges: DataFrame, starts: DataFrame, depth: int, max_pages: i
     Every round meets only the newest pages; what has been seen is written to
     the checkpoint folder, so plans stay short and lost executors can be replaced.
     """
+    shared_dir(edges.sparkSession)
     seen = starts.select(F.col("src").alias("page"), F.lit(0).alias("level")).distinct().checkpoint()
     newest = seen
     for level in range(1, depth + 1):

@@ -12,8 +12,10 @@ from stallwise.plans.registry import query
 from stallwise.plans.sqlviews import rnd
 
 _W = lambda w: f"(^|[^a-z0-9_])({w})($|[^a-z0-9_])"
-SIGNALS = {"licence": _W("licen[sc]ed?|license"), "contact": r"[a-z0-9.]+@[a-z0-9.]+", "german": _W("nicht|und|sich"), "french": _W("dans|pour|avec"),
+SIGNALS = {"licence": _W("licen[sc]ed?|license"), "contact": r"[a-z0-9.]@[a-z0-9.]", "german": _W("nicht|und|sich"), "french": _W("dans|pour|avec"),
            "english": _W("this|that|with"), "worth": "worth(less)?", "phone": r"\(?[0-9]{3}\)? [0-9]{3}-[0-9]{4}"}
+NEEDS = {"licence": ["licen"], "contact": ["@"], "german": ["nicht", "und", "sich"], "french": ["dans", "pour", "avec"],
+         "english": ["this", "that", "with"], "worth": ["worth"]}
 TOPICS = ["the", "ing ", "tion", "nicht", "pour", "license", "thin", "mail", "er er", "zeppelin"]
 THEMES = [niche("mail", "@", "mail"), niche("german", "nicht", " und "), niche("french", "dans", "avec"), niche("tion", "tion"), niche("none", "zeppelin")]
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
@@ -22,7 +24,7 @@ TAG = {"tagged": "SELECT *, list_filter([" + ", ".join(
 
 
 def tagged(spark, sf):
-    return P.tag_signals(V.posts(spark, sf), SIGNALS)
+    return P.tag_signals(V.posts(spark, sf), SIGNALS, NEEDS)
 
 
 @query("tag_signals", "SELECT id, array_to_string(signals, ',') AS signals FROM tagged", TAG)

@@ -51,7 +51,7 @@ DIM = {
     "wdim": _dim_sql(WORD_NICHES, _ATTRS),
     "wmatched": """SELECT n.label, n.category, n.complexity, l.* FROM (SELECT DISTINCT label, category, complexity FROM wdim) n
         JOIN listings l ON EXISTS (SELECT 1 FROM wdim k WHERE k.label = n.label AND regexp_matches(lower(l.display_name || ' ' || l.summary),
-        '(^|[^a-z0-9_])' || replace(k.kw, ' ', '\\s+') || '($|[^a-z0-9_])'))""",
+        '(^|[^\\pL\\pN_])' || replace(k.kw, ' ', '\\s+') || '($|[^\\pL\\pN_])'))""",
     "rdim": _dim_sql(REGEX_NICHES, ("edition",)),
     "rlist": "SELECT DISTINCT pos, label, edition FROM rdim",
     "rmatched": """SELECT n.label, l.* FROM rlist n JOIN listings l

@@ -201,10 +201,10 @@ def tbl_upsert_counts(spark, sf):
     return A.change_counts(A.upsert_posts(*_post_copies(spark, sf)))
 
 
-@query("tbl_incremental_skip", "SELECT partner_id, name FROM partners WHERE partner_id NOT IN (SELECT partner_id FROM client_refs WHERE client_industry = 'BUILDING' GROUP BY 1 HAVING count(*) > 50)")
+@query("tbl_incremental_skip", "SELECT partner_id, name FROM partners WHERE grade NOT IN ('Gold', 'Silver')")
 def tbl_incremental_skip(spark, sf):
-    seen = V.client_refs(spark, sf).filter("client_industry = 'BUILDING'").groupBy("partner_id").count().filter("count > 50")
-    return A.unseen(V.partners(spark, sf, with_clients=False), seen, "partner_id").select("partner_id", "name")
+    crawled = V.partners(spark, sf, with_clients=False).filter(F.col("grade").isin("Gold", "Silver"))
+    return A.unseen(V.partners(spark, sf, with_clients=False), crawled, "partner_id").select("partner_id", "name")
 
 
 @query("join_anti_seen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _last_ship(lineitem: DataFrame) -> Column:
-    return lineitem.agg(F.max("l_shipdate").cast("timestamp").alias("m")).scalar()
+    return lineitem.agg(F.max("l_shipdate").alias("m")).scalar()
 
 
 def _cap(last: Column, k: int) -> Column:
@@ -57,14 +57,14 @@ def snapshots(spark: SparkSession, sf: str, ks: Sequence[int] = (3, 2, 1, 0)) ->
     """Listing facts per run; ``ks`` are the runs to read, 0 being the latest (run pruning)."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     last = _last_ship(line)
-    line = line.select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag").withColumn("_last", last)
-    ship, qty = F.col("l_shipdate").cast("timestamp"), F.col("l_quantity")
+    line = line.select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag").select(
+        "l_partkey", "l_quantity", "l_returnflag", (last - F.col("l_shipdate")).alias("_age"))
+    age, qty = F.col("_age"), F.col("l_quantity")
     ret = F.col("l_returnflag") == "R"
     aggs = []
     for k in ks:
-        cap = _cap(F.col("_last"), k)
-        seen = ship <= cap
-        recent = seen & (ship > cap - F.expr("INTERVAL 30 DAYS"))
+        seen = age >= F.expr(f"INTERVAL '{k * RUN_GAP_DAYS}' DAY")
+        recent = seen & (age < F.expr(f"INTERVAL '{k * RUN_GAP_DAYS + 30}' DAY"))
         aggs += [
             F.count_if(seen).alias(f"n{k}"), F.sum(F.when(seen, qty)).alias(f"q{k}"),
             F.count_if(recent).alias(f"m{k}"), F.sum(F.when(recent, qty)).alias(f"mq{k}"),
@@ -73,7 +73,7 @@ def snapshots(spark: SparkSession, sf: str, ks: Sequence[int] = (3, 2, 1, 0)) ->
     per_part = line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(*aggs)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     run = lambda k: F.struct(
-        F.lit(f"run-{RUN_COUNT - 1 - k}").alias("run_id"), _cap(F.col("_last"), k).alias("captured_at"),
+        F.lit(f"run-{RUN_COUNT - 1 - k}").alias("run_id"), _cap(F.col("_last"), k).cast("timestamp").alias("captured_at"),
         zero(f"n{k}").alias("n"), zero(f"q{k}").alias("q"), zero(f"m{k}").alias("m"), zero(f"mq{k}").alias("mq"),
         zero(f"r{k}").alias("r"), F.col(f"rq{k}").alias("rq"))
     key, size = F.col("p_partkey"), F.col("p_size")
