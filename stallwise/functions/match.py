@@ -117,12 +117,12 @@ def keep_zero(agg: DataFrame, dim_frame: DataFrame, key: str = "label", zeros: S
     return dim_frame.join(agg, key, "left").fillna(0, subset=list(zeros))
 
 
-def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str, width: int = 4) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str, widths: Sequence[int] = (1, 2, 3, 4, 8)) -> DataFrame:
     """Every (text row, word row) where the text contains the word, as an equi-join.
 
-    Each word is filed under its first ``width`` characters (all of it when
-    shorter); each text under all its substrings of up to that length.  A pair
-    meets exactly once and is then verified.  Feed distinct texts and words.
+    Each word is filed under its leading characters, as many as the greatest
+    width it can fill; each text under all its substrings of those widths.  A
+    pair meets exactly once and is then verified.  Feed distinct texts and words.
     """
     t, w = F.col(text), F.col(word_col)
 
@@ -131,7 +131,8 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str,
         return F.when(F.length(t) >= n, F.transform(starts, lambda i: t.substr(i, F.lit(n)))).otherwise(
             F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, width + 1)])))
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in widths])))
     left = explode_once(texts, "_gram", grams)
-    right = words.filter(F.length(w) > 0).withColumn("_gram", F.substring(w, 1, width))
+    fill = F.coalesce(*[F.when(F.length(w) >= n, F.lit(n)) for n in sorted(widths, reverse=True)])
+    right = words.filter(F.length(w) > 0).withColumn("_gram", w.substr(F.lit(1), fill))
     return left.join(right, "_gram").filter(t.contains(w)).drop("_gram")

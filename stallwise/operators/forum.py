@@ -60,8 +60,9 @@ def repeat_authors(posts: DataFrame, n: int = 15) -> DataFrame:
     """Authors of more than one post with their communities; pairs are combined first."""
     named = posts.filter(~F.coalesce("author", F.lit("")).isin("", "[deleted]"))
     pairs = named.groupBy("author", "community").agg(F.count(F.lit(1)).alias("c"))
-    agg = pairs.groupBy("author").agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list("community")), ", ").alias("communities"))
-    return top(agg.filter("n > 1"), [desc("n"), F.col("author")], n)
+    best = top(pairs.groupBy("author").agg(F.sum("c").alias("n")).filter("n > 1"), [desc("n"), F.col("author")], n)
+    # Only the n authors of the report have their communities listed.
+    return pairs.join(best, "author").groupBy("author", "n").agg(F.array_join(F.array_sort(F.collect_list("community")), ", ").alias("communities"))
 
 
 def window_totals(posts: DataFrame, as_of: str, days: int) -> DataFrame:

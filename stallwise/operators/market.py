@@ -42,13 +42,14 @@ def best_rows(df: DataFrame, keys: Sequence[str], best: Column) -> DataFrame:
 # ---- sizing and distributions ------------------------------------------------
 
 def market_sizing(snapshots: DataFrame, version: str) -> DataFrame:
-    return snapshots.agg(
-        F.count(F.lit(1)).alias("listings"), F.count_if(C.paid()).alias("paid"),
-        (F.count(F.lit(1)) - F.count_if(C.paid())).alias("free"),
-        F.countDistinct("author").alias("publishers"),
-        F.countDistinct(F.when(C.paid(), F.col("author"))).alias("paid_publishers"),
-        F.count_if(F.col("version") == version).alias("version_listings"),
-        F.count_if(C.active()).alias("sold_last_month"), F.count_if(C.dead()).alias("never_sold"))
+    """Totals of the market; combined per publisher first, so distinct counts need no copies of the rows."""
+    per_author = snapshots.groupBy("author").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(C.paid()).alias("p"), F.count_if(F.col("version") == version).alias("v"),
+        F.count_if(C.active()).alias("s"), F.count_if(C.dead()).alias("d"))
+    return per_author.agg(
+        total("n").alias("listings"), total("p").alias("paid"), (total("n") - total("p")).alias("free"), F.count("author").alias("publishers"),
+        F.count_if(F.col("author").isNotNull() & (F.col("p") > 0)).alias("paid_publishers"), total("v").alias("version_listings"),
+        total("s").alias("sold_last_month"), total("d").alias("never_sold"))
 
 
 PRICE_POINTS = {"p10": .10, "p25": .25, "p50": .50, "p75": .75, "p90": .90, "p95": .95, "p99": .99}

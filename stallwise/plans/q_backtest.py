@@ -10,6 +10,7 @@ from stallwise.plans import views as V
 from stallwise.plans.q_validate import WORDS, sub_sql
 from stallwise.plans.registry import query
 from stallwise.plans.sqlviews import rnd
+from stallwise.session import fresh_path
 
 BT = {
     "tiered": """SELECT *, lower(display_name || ' ' || summary) AS text, split_part(lower(display_name), ' ', 1) AS word FROM (SELECT *,
@@ -52,6 +53,14 @@ def set_union_tiers(spark, sf):
     return B.tiered(V.listings(spark, sf), _LIM).select("app_key", "tier")
 
 
+@query("src_backtest_csv", "SELECT app_key, tier, viability FROM bt", BT)
+def src_backtest_csv(spark, sf):
+    """The scored rows handed to the statistics through a stored table."""
+    path = fresh_path(spark, "backtest")
+    bt(spark, sf).select("app_key", "tier", "viability").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _NS = ["word", "n", "total", "velocity", "dead", "active", "paid", "free", "low", "stale"]
 
 

@@ -126,11 +126,16 @@ def set_dedupe_refs(spark, sf):
 
 
 @query("agg_client_db", """SELECT client_name, count(DISTINCT partner_id) AS partner_count, string_agg(DISTINCT client_industry, ',' ORDER BY client_industry) AS industries,
-    string_agg(DISTINCT partner_id::VARCHAR, ',' ORDER BY partner_id::VARCHAR) AS partners, 'ref ' || min(partner_id) AS description FROM client_refs GROUP BY 1""")
+    'ref ' || min(partner_id) AS description FROM client_refs GROUP BY 1""")
 def agg_client_db(spark, sf):
     refs = V.client_refs(spark, sf).withColumn("description", F.concat(F.lit("ref "), F.col("partner_id").cast("string")))
-    lists = P.client_partners(refs, 1_000_000).select("client_name", F.array_join(F.array_sort(F.transform("partners", lambda p: p.cast("string"))), ",").alias("partners"))
-    return P.client_facts(refs).join(lists, "client_name").select("client_name", "partner_count", F.array_join("industries", ",").alias("industries"), "partners", "description")
+    return P.client_facts(refs).select("client_name", "partner_count", F.array_join("industries", ",").alias("industries"), "description")
+
+
+@query("agg_client_partners", "SELECT client_name, partner_id // 1000 AS page, array_to_string(list_sort(list(DISTINCT partner_id)), ',') AS partners FROM client_refs GROUP BY 1, 2")
+def agg_client_partners(spark, sf):
+    rows = P.client_partners(V.client_refs(spark, sf))
+    return rows.select("client_name", "page", F.array_join(F.transform("partners", lambda p: p.cast("string")), ",").alias("partners"))
 
 
 @query("agg_crawl_progress", f"""SELECT done, seconds, {rnd('done * 6e1 / seconds', 6)} AS per_minute, greatest(0, 11850 - done) AS remaining, {rnd('greatest(0, 11850 - done) / (done * 6e1 / seconds)', 3)} AS minutes_left,

@@ -40,7 +40,7 @@ def src_run_discovery(spark, sf):
     path = fresh_path(spark, "tree")
     rows = V.snapshots(spark, sf).groupBy("run_id", "captured_at").agg(F.count(F.lit(1)).alias("app_count"))
     rows.select(_day("captured_at").alias("day"), F.col("run_id").alias("run"), "app_count").write.partitionBy("day", "run").json(path)
-    return R.discover_runs(spark, path)
+    return R.discover_runs(spark, path, "*.json")
 
 
 _PCOLS = "partner_id, name, grade, country, employees"
@@ -302,10 +302,3 @@ def snk_report_rows(spark, sf):
     pub = _ranked(rows.groupBy("author").agg(F.count("*").alias("listings")), [K.desc("listings"), F.col("author")], 5)
     stale = _ranked(K.stale_incumbents(rows, 5), [K.desc("total_purchases"), F.col("app_key")], 5)
     return O.report_rows([("publishers", pub, ["author", "listings"]), ("stale", stale, ["app_key", "total_purchases"])])
-
-
-@query("src_backtest_handoff", "SELECT app_key, total_purchases FROM listings WHERE price_cents > 0")
-def src_backtest_handoff(spark, sf):
-    path = fresh_path(spark, "handoff")
-    V.listings(spark, sf).filter(C.paid()).select("app_key", "total_purchases").write.parquet(path)
-    return spark.read.parquet(path)

@@ -19,9 +19,9 @@ def read_run_meta(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("started_at", iso("started_at")).withColumn("finished_at", iso("finished_at"))
 
 
-def discover_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Run folders ``root/<day>/<run>/`` in name order, with the newest flagged."""
-    files = spark.read.text(f"{root}/*/*/*.json").select(F.col("_metadata.file_path").alias("path"))
+def discover_runs(spark: SparkSession, root: str, marker: str = "run.json") -> DataFrame:
+    """Run folders ``root/<day>/<run>/`` that hold the (small) marker file, with the newest flagged."""
+    files = spark.read.text(f"{root}/*/*/{marker}").select(F.col("_metadata.file_path").alias("path"))
     parts = F.split("path", "/")
     runs = files.select(F.element_at(parts, -3).alias("day"), F.element_at(parts, -2).alias("run")).distinct()
     newest = runs.agg(F.max(F.struct("day", "run")).alias("m")).scalar()
