@@ -16,20 +16,28 @@ BUCKETS_PER_DOUBLING = 64
 
 
 def _bucket(v: Column) -> Column:
-    """Monotone in v; at most 64 buckets per doubling of magnitude."""
-    return F.floor(F.signum(v) * F.log2(F.abs(v) + F.lit(1.0)) * F.lit(float(BUCKETS_PER_DOUBLING)))
+    """Monotone in v; at most 64 buckets per doubling of magnitude.
 
+    Declared non-NULL, so that no filter is inferred for the join below and both
+    of its sides read the very same counts from one reused exchange.
+    """
+    b = F.floor(F.signum(v) * F.log2(F.abs(v) + F.lit(1.0)) * F.lit(float(BUCKETS_PER_DOUBLING)))
+    return F.coalesce(b, F.lit(0).cast("bigint"))
 
-def counted(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
-    """Distinct non-NULL values per key with their row count ``cnt`` (and optional extra sums)."""
-    aggs = [F.count(F.lit(1)).alias("cnt")] + [c.alias(n) for n, c in (sums or {}).items()]
+
+def counted(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None, weight: str | None = None) -> DataFrame:
+    """Distinct non-NULL values per key with their row count ``cnt`` (and optional extra sums).
+
+    ``weight`` names the row count of input that is already combined.
+    """
+    aggs = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt")] + [c.alias(n) for n, c in (sums or {}).items()]
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """Per (keys, value): ``cnt``, ``below`` (rows strictly smaller in the key) and ``n`` (rows of the key)."""
     keys = list(keys)
-    vc = counted(df, keys, value, sums).withColumn("_b", _bucket(F.col(value).cast("double")))
+    vc = counted(df, keys, value, sums, weight).withColumn("_b", _bucket(F.col(value).cast("double")))
     group = [F.col(k) for k in keys] or [F.lit(0)]
     by_key = W.partitionBy(*group)
     upto = by_key.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -80,6 +88,6 @@ def positions(df: DataFrame, keys: Sequence[str], value: str, picks: Mapping[str
     return r.groupBy(*keys).agg(*[_at(value, idx).alias(name) for name, idx in picks.items()])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """``ranked`` plus ``avg_rank``: the 1-based mean rank shared by ties."""
-    return ranked(df, keys, value, sums).withColumn("avg_rank", F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))
+    return ranked(df, keys, value, sums, weight).withColumn("avg_rank", F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))

@@ -32,15 +32,15 @@ def niche(label: str, *keywords: str, **attrs) -> Niche:
     return Niche(label, tuple(keywords), attrs)
 
 
-def from_frame(dim: DataFrame, label: str = "label", keyword: str = "keyword") -> list[Niche]:
+def from_frame(dim: DataFrame, label: str = "label", keyword: str = "keyword", attrs: Sequence[str] = ()) -> list[Niche]:
     """Collect a keyword table after checking that it is small; refuse otherwise."""
-    rows = dim.select(label, keyword).limit(LITERAL_LIMIT + 1).collect()
+    rows = dim.select(label, keyword, *attrs).limit(LITERAL_LIMIT + 1).collect()
     if len(rows) > LITERAL_LIMIT:
-        raise ValueError(f"more than {LITERAL_LIMIT} keywords: use contains_join")
-    grouped: dict[str, list[str]] = {}
-    for lab, kw in rows:
-        grouped.setdefault(lab, []).append(kw)
-    return [Niche(lab, tuple(kws)) for lab, kws in grouped.items()]
+        raise ValueError(f"more than {LITERAL_LIMIT} keywords: use fan_out_table")
+    grouped: dict[str, tuple[list[str], dict]] = {}
+    for lab, kw, *values in rows:
+        grouped.setdefault(lab, ([], dict(zip(attrs, values))))[0].append(kw)
+    return [Niche(lab, tuple(kws), values) for lab, (kws, values) in grouped.items()]
 
 
 def to_frame(spark: SparkSession, dim: Sequence[Niche], **types: str) -> DataFrame:
@@ -97,7 +97,7 @@ MODES: dict[str, Callable[[Sequence[str], Sequence[str]], Column]] = {
 def matched_labels(dim: Sequence[Niche], fields: Sequence[str], mode: str = "contains") -> Column:
     """Array of the labels a row matches."""
     if sum(len(n.keywords) for n in dim) > LITERAL_LIMIT:
-        raise ValueError(f"more than {LITERAL_LIMIT} keywords: use contains_join")
+        raise ValueError(f"more than {LITERAL_LIMIT} keywords: use fan_out_table")
     test = MODES[mode]
     return F.array_compact(F.array(*[F.when(test(fields, n.keywords), F.lit(n.label)) for n in dim]))
 
@@ -136,3 +136,16 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str,
     fill = F.coalesce(*[F.when(F.length(w) >= n, F.lit(n)) for n in sorted(widths, reverse=True)])
     right = words.filter(F.length(w) > 0).withColumn("_gram", w.substr(F.lit(1), fill))
     return left.join(right, "_gram").filter(t.contains(w)).drop("_gram")
+
+
+def fan_out_table(df: DataFrame, fields: Sequence[str], dim: DataFrame, label: str = "label", keyword: str = "keyword") -> DataFrame:
+    """``fan_out`` for keyword tables of any size: substring matches in any of the fields, each label once per row."""
+    words = dim.select(F.col(label), F.lower(keyword).alias("_word"))
+    out = None
+    for f in fields:
+        named = df.withColumn("_text", F.lower(f)).filter(F.col("_text").isNotNull())
+        pairs = contains_join(named.select("_text").distinct(), "_text", words.select("_word").distinct(), "_word")
+        labels = pairs.join(words, "_word").select("_text", label).distinct()
+        hits = named.join(labels, "_text").drop("_text")
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct() if len(fields) > 1 else out

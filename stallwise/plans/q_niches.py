@@ -114,6 +114,17 @@ def join_keyword_table(spark, sf):
     return rows.join(pairs, "name").select("word", "app_key")
 
 
+_NAMES = {"name_dim": "SELECT DISTINCT p_type AS label, lower(p_name) AS kw FROM part"}
+
+
+@query("join_keyword_table_any", """SELECT DISTINCT d.label, l.app_key FROM name_dim d JOIN listings l ON contains(lower(l.display_name), d.kw) OR contains(lower(l.summary), d.kw)""", _NAMES)
+def join_keyword_table_any(spark, sf):
+    """A derived (label, keyword) table against name or summary."""
+    dim = V.table(spark, sf, "part").select(F.col("p_type").alias("label"), F.col("p_name").alias("keyword")).distinct()
+    rows = V.listings(spark, sf).select("app_key", "display_name", "summary")
+    return M.fan_out_table(rows, N.BOTH, dim).select("label", "app_key")
+
+
 @query("join_keyword_zero_keep", f"SELECT n.label, n.pos, {ZEROS} FROM niche_list n LEFT JOIN matched m USING (label) GROUP BY 1, 2", DIM)
 def join_keyword_zero_keep(spark, sf):
     return N.counts_keep_zero(V.listings(spark, sf), NICHES)

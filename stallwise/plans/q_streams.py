@@ -62,9 +62,8 @@ def st_posts_upsert(spark, sf):
     for number, pull in enumerate(_post_copies(spark, sf)):
         rows = pull.withColumn("pulled", F.lit(number))
         rows.write.mode("append").parquet(folder)
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pull.schema)
-        J.run_available(J.read_stream(spark, folder, rows.schema), J.posts_upsert(root, ddl), checkpoint=progress)
-    return J.current_table(spark, root).select("id", "community", "score", "signals")
+        J.run_available(J.read_stream(spark, folder, rows.schema), J.posts_upsert(root), checkpoint=progress)
+    return J.current_posts(spark, root).select("id", "community", "score", "signals")
 
 
 @query("st_run_ingest", """SELECT run_id, count(*) AS n, sum(total_purchases)::BIGINT AS sales FROM (SELECT * FROM snapshots

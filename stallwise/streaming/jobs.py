@@ -49,28 +49,27 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str | Column], val
     return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    done = lambda s: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop) if s.isDirectory() and done(s))
-
-
-def posts_upsert(root: str, ddl: str) -> Callable[[DataFrame, int], None]:
-    """Sink that merges a batch of posts into versioned tables under ``root``; a repeated batch gives the same version."""
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        incoming = A.first_rows(batch, [F.col("id")], F.struct(F.col("pulled")))
-        older = [v for v in _versions(spark, root) if v < number]
-        existing = spark.read.parquet(f"{root}/v={older[-1]}") if older else spark.createDataFrame([], ddl)
-        A.upsert_posts(existing, incoming.drop("pulled")).drop("change").write.mode("overwrite").parquet(f"{root}/v={number}")
-    return merge
-
-
-def current_table(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={_versions(spark, root)[-1]}")
+def posts_upsert(root: str) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps each batch's posts in a folder of its own.
+
+    A batch costs what it brings, whatever the size of the table, and writing it
+    again after a failure replaces it; ``current_posts`` merges on read.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        A.first_rows(batch, [F.col("id")], F.struct(F.col("pulled"))).drop("pulled").write.mode("overwrite").parquet(f"{root}/batch={number}")
+    return keep
+
+
+def current_posts(spark: SparkSession, root: str) -> DataFrame:
+    """The merged table: fixed columns from a post's first batch, changing ones from its last; combined map-side."""
+    kept = spark.read.parquet(root)
+    others = [c for c in kept.columns if c not in ("id", "batch")]
+    return kept.groupBy("id").agg(*[(F.max_by if c in A.POST_UPDATES else F.min_by)(c, "batch").alias(c) for c in others])
+
+
+def compact_posts(spark: SparkSession, root: str, target: str) -> None:
+    """Write the merged table as the first batch of a new folder, for later batches to follow."""
+    current_posts(spark, root).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def run_ingest(path: str) -> Callable[[DataFrame, int], None]:

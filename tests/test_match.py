@@ -61,7 +61,8 @@ def test_large_keyword_tables_are_refused_as_literals(spark):
     dim = spark.range(M.LITERAL_LIMIT + 1).select(F.lit("x").alias("label"), F.col("id").cast("string").alias("keyword"))
     with pytest.raises(ValueError):
         M.from_frame(dim)
-    assert M.from_frame(dim.limit(3))[0].label == "x"
+    small = M.from_frame(dim.limit(3).withColumn("category", F.lit("c")), attrs=["category"])
+    assert [(n.label, len(n.keywords), n.attrs) for n in small] == [("x", 3, {"category": "c"})]
 
 
 def test_zero_matches_are_kept(listing):
