@@ -86,6 +86,22 @@ def rnd(expr: str, places: int = 0) -> str:
     return f"(floor(({expr})::DOUBLE * 1e{places} + 0.5e0) / 1e{places})"
 
 
+def long_counts(sql: str) -> str:
+    """Conditional counts as BIGINT; DuckDB counts them in 128 bits."""
+    out = []
+    for m in re.finditer(r"\bcount_if\(", sql):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(end)
+    for end in sorted(out, reverse=True):
+        tail = re.match(r" (OVER|FILTER) \(", sql[end:])
+        if not tail:
+            sql = sql[:end] + "::BIGINT" + sql[end:]
+    return sql
+
+
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it names, dependencies first."""
     views = {**VIEWS, **(extra or {})}
@@ -99,5 +115,5 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
 
     need(sql)
     if not order:
-        return sql
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + sql
+        return long_counts(sql)
+    return long_counts("WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in order) + "\n" + sql)
