@@ -125,8 +125,11 @@ class TextScorer:
 
 
 def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 8, epochs: int = 8, rate: float = 0.5,
-        batch: int = 256, seed: int = 5) -> ToxicityModel:
-    """Joint training of embeddings and softmax.  Without rows of both classes the model answers their share."""
+        batch: int = 64, least_steps: int = 350, seed: int = 5) -> ToxicityModel:
+    """Joint training of embeddings and softmax.
+
+    At least ``epochs`` passes and ``least_steps`` minibatches.  Without rows of both classes the model answers their share.
+    """
     rng = np.random.default_rng(seed)
     share = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
     bias = np.array([0.0, np.log(share / (1 - share))])
@@ -142,7 +145,7 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
     ids, counts = subwords(list(vocabulary), buckets)
     first = np.cumsum(counts) - counts
     seen_e, seen_w = np.full(buckets, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32)
-    for epoch in range(epochs):
+    for epoch in range(max(epochs, -(-least_steps // -(-len(texts) // batch)))):
         scores = np.add.reduceat(model.pull[ids], first) / counts
         order, bags = rng.permutation(len(texts)), []
         for words in texts:
