@@ -1,18 +1,19 @@
 """Distinct-chunk tables: segment each distinct piece of text once, put the ids back by position.
 
 Words repeat, so the slow library call is made once for each distinct chunk of
-a task and the rest are look-ups.  The table is emptied when it is full, which
-bounds a task's memory and changes no result.
+a worker and the rest are look-ups.  A worker keeps its table from task to
+task; it is emptied when it is full, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 import os
+from functools import cache
 
 import numpy as np
 
-#: Chunks a task keeps.
-TABLE = 800_000
+#: Chunks a worker keeps.
+TABLE = 600_000
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -121,3 +122,14 @@ class Pieces(ChunkTable):
 
     def split_here(self, field: str) -> bool:
         return self.cuttable and bool(field) and not field[-1].isspace() and not field[0].isspace() and not field.endswith(self.MARK)
+
+
+@cache
+def byte_bpe(path: str) -> ByteBpe:
+    """This worker's table for a file."""
+    return ByteBpe(path)
+
+
+@cache
+def sentence_pieces(path: str) -> Pieces:
+    return Pieces(path)

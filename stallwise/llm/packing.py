@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.chunks import ByteBpe
+from stallwise.llm.chunks import byte_bpe
 from stallwise.llm.common import text_of, written
 
 #: Pieces of a bucket, within which pieces of one length are numbered in one task.
@@ -101,7 +101,7 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ByteBpe(path)
+        table = byte_bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)

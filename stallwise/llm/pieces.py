@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallwise.llm.chunks import Pieces, _packed
+from stallwise.llm.chunks import _packed, sentence_pieces
 from stallwise.llm.common import text_of
 
 
@@ -25,7 +25,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids
 
     @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = Pieces(path)
+        table = sentence_pieces(path)
         before = _packed([table.model.bos_id()]) if begin else b""
         after = _packed([table.model.eos_id()]) if end else b""
         for part in parts:
@@ -41,7 +41,7 @@ def decode(rows: DataFrame, path: str, ids: str = "piece_ids", out: str = "decod
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Pieces(path).model
+        model = sentence_pieces(path).model
         for part in parts:
             yield pd.Series([model.decode(np.frombuffer(b, "<u4").tolist()) for b in part], dtype=object)
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.chunks import ByteBpe
+from stallwise.llm.chunks import byte_bpe
 from stallwise.llm.common import text_of
 
 
@@ -32,7 +32,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int | None = 2, key:
     last = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, row = ByteBpe(path), TaskContext.get().partitionId(), 0
+        table, part, row = byte_bpe(path), TaskContext.get().partitionId(), 0
         end = np.array(last, "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
