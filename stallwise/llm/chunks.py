@@ -2,35 +2,69 @@
 
 Words repeat, so the slow library call is made once for each distinct chunk of
 a worker and the rest are look-ups.  A worker keeps its table from task to
-task; it is emptied when it is full, which bounds memory and changes no result.
+task.  When it is full it becomes the old one, from which only fields that are
+met again are carried over: that bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 import os
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-#: Chunks a worker keeps.
-TABLE = 600_000
+#: Fields of a table before it becomes the old one.
+TABLE = 450_000
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _packed_each(lists: list[list[int]]) -> list[bytes]:
+    """The same for many short lists."""
+    ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) * 4
+    data = np.fromiter(chain.from_iterable(lists), "<u4", int(ends[-1]) // 4 if len(lists) else 0).tobytes()
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if lists else []
+
+
+class _Known(dict):
+    """Ids by field; a field that isn't there is noted and reads as None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.wanted: set[str] = set()
+        self.old: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        """Makes room when the table is full."""
+        if len(self) > TABLE:
+            self.old = dict(self)
+            self.clear()
+
+    def missed(self) -> list[str]:
+        """The fields that neither table has; those of the old one are carried over."""
+        again = self.wanted & self.old.keys()
+        self.update((f, self.old[f]) for f in again)
+        new = list(self.wanted - again)
+        self.wanted.clear()
+        return new
+
+    def __missing__(self, field: str) -> None:
+        self.wanted.add(field)
+
+
 class ChunkTable:
-    """Ids of a text as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
     A text is cut at single spaces.  A field for which ``split_here`` is false
-    could share a token with its neighbours, and its text is given to the
-    library whole.
+    could share a token with its neighbours: it stays None in the table, and a
+    text that has it is given to the library whole.
     """
 
     def __init__(self) -> None:
-        self.heads: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.heads, self.rest = _Known(), _Known()
 
     def whole(self, text: str) -> bytes:
         raise NotImplementedError
@@ -41,34 +75,39 @@ class ChunkTable:
     def split_here(self, field: str) -> bool:
         raise NotImplementedError
 
-    def _learn(self, table: dict[str, bytes | None], fields: list[str], head: bool) -> None:
-        if len(table) + len(fields) > TABLE:
-            table.clear()
+    def _learn(self, head: bool) -> None:
+        """Segments the fields that were missed, in one call."""
+        table = self.heads if head else self.rest
+        fields = table.missed()
         safe = [f for f in fields if self.split_here(f)]
-        table.update(dict.fromkeys(fields))
+        table.update(dict.fromkeys(f for f in fields if not self.split_here(f)))
         table.update(zip(safe, self.segment(safe, head), strict=True))
 
-    def ids(self, text: str) -> bytes:
-        fields = text.split(" ")
-        if len(fields) == 1:
-            return self.whole(text)
-        head = fields[0]
-        if head not in self.heads:
-            self._learn(self.heads, [head], True)
-        first = self.heads[head]
-        del fields[0]
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts' new fields are segmented together."""
+        self.heads.turn()
+        self.rest.turn()
+        split = [t.split(" ") for t in texts]
+        found = []
+        for fields in split:
+            self.heads[fields[0]]
+            found.append(list(map(self.rest.__getitem__, fields[1:])))
+        self._learn(True)
+        self._learn(False)
+        return [self._joined(*x) for x in zip(texts, split, found, strict=True)]
+
+    def _joined(self, text: str, fields: list[str], parts: list[bytes | None]) -> bytes:
         try:
-            parts = list(map(self.rest.__getitem__, fields))
-        except KeyError:
-            new = list({f for f in fields if f not in self.rest})
-            if len(self.rest) + len(new) > TABLE:
-                self.rest.clear()
-                new = list(set(fields))
-            self._learn(self.rest, new, False)
-            parts = list(map(self.rest.__getitem__, fields))
-        if first is None or None in parts:
+            return self.heads[fields[0]] + b"".join(parts)
+        except TypeError:
+            pass
+        try:
+            return self.heads[fields[0]] + b"".join([self.rest[f] if p is None else p for p, f in zip(parts, fields[1:], strict=True)])
+        except TypeError:
             return self.whole(text)
-        return first + b"".join(parts)
+
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 class ByteBpe(ChunkTable):
@@ -84,13 +123,23 @@ class ByteBpe(ChunkTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.stops = dict(zip(".,", self._library([".", ","]), strict=True))
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def segment(self, fields: list[str], head: bool) -> list[bytes]:
-        texts = fields if head else [" " + f for f in fields]
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if head:
+            return self._library(fields)
+        # The pattern also starts a token between a letter and a full stop or comma, so these share the word before them.
+        cut = [len(f) > 1 and f[-1] in ".," and f[-2].isalpha() for f in fields]
+        words = list({f[:-1] if c else f for f, c in zip(fields, cut, strict=True)})
+        new = [w for w in words if self.rest.get(w) is None]
+        self.rest.update(zip(new, self._library([" " + w for w in new]), strict=True))
+        return [self.rest[f[:-1]] + self.stops[f[-1]] if c else self.rest[f] for f, c in zip(fields, cut, strict=True)]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return _packed_each([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def split_here(self, field: str) -> bool:
         return bool(field) and not field[0].isspace() and not field[-1].isspace()
@@ -118,7 +167,7 @@ class Pieces(ChunkTable):
         return _packed(self.model.encode(text, num_threads=1))
 
     def segment(self, fields: list[str], head: bool) -> list[bytes]:
-        return [_packed(ids) for ids in self.model.encode(fields, num_threads=1)] if fields else []
+        return _packed_each(self.model.encode(fields, num_threads=1)) if fields else []
 
     def split_here(self, field: str) -> bool:
         return self.cuttable and bool(field) and not field[-1].isspace() and not field[0].isspace() and not field.endswith(self.MARK)

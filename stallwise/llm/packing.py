@@ -106,8 +106,8 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 which, start, length, total, ids = [], [], [], [], []
-                for i, t in enumerate(some.column(1).to_pylist()):
-                    data = table.ids(t) + last
+                for i, data in enumerate(table.many(some.column(1).to_pylist())):
+                    data += last
                     n = len(data) // 4
                     for a in range(0, n, size):
                         which.append(i)

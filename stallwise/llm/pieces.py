@@ -29,7 +29,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids
         before = _packed([table.model.bos_id()]) if begin else b""
         after = _packed([table.model.eos_id()]) if end else b""
         for part in parts:
-            yield pd.Series([before + table.ids(t) + after for t in part], dtype=object)
+            texts = part.tolist()
+            yield pd.Series([before + d + after for k in range(0, len(texts), 500) for d in table.many(texts[k: k + 500])], dtype=object)
 
     return docs.withColumn(out, run(text_of(text)))
 

@@ -37,7 +37,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int | None = 2, key:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                data = [table.ids(t) + end for t in some.column(1).to_pylist()]
+                data = [d + end for d in table.many(some.column(1).to_pylist())]
                 n = np.fromiter((len(d) // 4 for d in data), np.int32, len(data))
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), some.column(0), pa.array(n.astype(np.int64)), ids],
