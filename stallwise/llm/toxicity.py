@@ -124,7 +124,7 @@ class TextScorer:
         return float(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
 
 
-def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 8, epochs: int = 8, rate: float = 0.5,
+def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, window: int = 4, epochs: int = 8, rate: float = 0.5,
         batch: int = 64, least_steps: int = 350, seed: int = 5) -> ToxicityModel:
     """Joint training of embeddings and softmax.
 
