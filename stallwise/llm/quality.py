@@ -123,17 +123,20 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 18, cost: float = 1.0
     if len(set(y)) < 2:
         return QualityModel(np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     maker = Indicators(buckets)
-    rows = [r for k in range(0, len(sample), 256) for r in maker.of([t for t, _ in sample[k: k + 256]])]
-    good = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v > 0]), minlength=buckets) + alpha
-    bad = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v < 0]), minlength=buckets) + alpha
+    # Each row holds a bucket at most once, so rows are added one by one; 32 bits keep the driver's share small.
+    rows = [r.astype(np.int32) for k in range(0, len(sample), 256) for r in maker.of([t for t, _ in sample[k: k + 256]])]
+    maker.forget()
+    good, bad = np.full(buckets, float(alpha)), np.full(buckets, float(alpha))
+    for r, v in zip(rows, y, strict=True):
+        (good if v > 0 else bad)[r] += 1
     ratios = np.log((good / good.sum()) / (bad / bad.sum()))
     ratios[(good + bad) == 2 * alpha] = 0
-    values = [ratios[r] / max(1e-12, np.sqrt((ratios[r] ** 2).sum())) for r in rows]
+    values = [(ratios[r] / max(1e-12, np.sqrt((ratios[r] ** 2).sum()))).astype(np.float32) for r in rows]
     # Dual coordinate descent for the hinge loss; a constant feature of one carries the bias.
     # A class gets the cost that makes both weigh the same.
     upper = cost * len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     w, b, a = np.zeros(buckets), 0.0, np.zeros(len(y))
-    square = np.array([(v ** 2).sum() + 1 for v in values])
+    square = np.array([float(v @ v) + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(sweeps):
         for i in rng.permutation(len(y)):

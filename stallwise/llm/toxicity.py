@@ -27,6 +27,8 @@ from stallwise.llm.common import labelled_sample, ragged, text_of
 
 #: Entries of a task's word table before it is emptied: bounds the memory of a task.
 WORD_TABLE = 400_000
+#: Words whose n-grams are made at a time when a model is fitted.
+PART = 20_000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SIZES = (3, 4, 5)
 
@@ -64,6 +66,35 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int64), np.bincount(who, minlength=len(words))
 
 
+def numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Each text as numbers of its bare words, and those words."""
+    number: dict[str, int] = {}
+    words: dict[str, int] = {}
+    rows = []
+    for text in texts:
+        fields = text.split()
+        for w in fields:
+            if w not in number:
+                number[w] = words.setdefault(bare(w), len(words))
+        rows.append(np.fromiter(map(number.__getitem__, fields), np.int32, len(fields)))
+    return rows, list(words)
+
+
+def bags_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words, a part at a time: the work space of the driver stays small."""
+    parts = [subwords(words[k: k + PART], buckets) for k in range(0, len(words), PART)]
+    return np.concatenate([p[0].astype(np.int32) for p in parts] or [np.zeros(0, np.int32)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+
+
+def word_means(pull: np.ndarray, ids: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The average pull of each word's bag."""
+    out = np.zeros(len(counts), np.float64)
+    for k in range(0, len(counts), PART):
+        here, n = first[k: k + PART], counts[k: k + PART]
+        out[k: k + PART] = np.add.reduceat(pull[ids[here[0]: here[-1] + n[-1]]], here - here[0]) / n
+    return out
+
+
 def window_ends(n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each window of a text of ``n`` words."""
     if n <= window:
@@ -137,16 +168,14 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
     if len({y for _, y in sample}) < 2:
         return model
     model.softmax = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-    fields = {w: bare(w) for w in {w for t, _ in sample for w in t.split()}}
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(fields.values()))}
-    number = {w: vocabulary[low] for w, low in fields.items()}
-    texts = [np.fromiter(map(number.__getitem__, t.split()), np.int64) for t, _ in sample]
+    texts, vocabulary = numbered([t for t, _ in sample])
     labels = np.array([y for _, y in sample])
-    ids, counts = subwords(list(vocabulary), buckets)
+    ids, counts = bags_of(vocabulary, buckets)
     first = np.cumsum(counts) - counts
+    del vocabulary
     seen_e, seen_w = np.full(buckets, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32)
     for epoch in range(max(epochs, -(-least_steps // -(-len(texts) // batch)))):
-        scores = np.add.reduceat(model.pull[ids], first) / counts
+        scores = word_means(model.pull, ids, first, counts)
         order, bags = rng.permutation(len(texts)), []
         for words in texts:
             a, b = window_ends(len(words), window)
@@ -155,7 +184,7 @@ def fit(sample: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 8, win
             else:
                 total = np.concatenate([[0.0], np.cumsum(scores[words])])
                 pick = int(np.argmax((total[b] - total[a]) / np.maximum(b - a, 1)))
-            bags.append(words[a[pick]: b[pick]])
+            bags.append(words[a[pick]: b[pick]].astype(np.int64))
         for at in range(0, len(order), batch):
             some = [i for i in order[at: at + batch] if len(bags[i])]
             if some:
