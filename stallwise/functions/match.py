@@ -141,11 +141,16 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word_col: str,
 def fan_out_table(df: DataFrame, fields: Sequence[str], dim: DataFrame, label: str = "label", keyword: str = "keyword") -> DataFrame:
     """``fan_out`` for keyword tables of any size: substring matches in any of the fields, each label once per row."""
     words = dim.select(F.col(label), F.lower(keyword).alias("_word"))
-    out = None
-    for f in fields:
-        named = df.withColumn("_text", F.lower(f)).filter(F.col("_text").isNotNull())
-        pairs = contains_join(named.select("_text").distinct(), "_text", words.select("_word").distinct(), "_word")
+    names = [f"_t{i}" for i in range(len(fields))]
+    lowered = [F.lower(f).alias(n) for f, n in zip(fields, names)]
+    texts = df.select(*lowered).distinct()
+    found = None
+    for n in names:
+        pairs = contains_join(texts.select(F.col(n).alias("_text")).filter("_text is not null").distinct(), "_text", words.select("_word").distinct(), "_word")
         labels = pairs.join(words, "_word").select("_text", label).distinct()
-        hits = named.join(labels, "_text").drop("_text")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct() if len(fields) > 1 else out
+        hits = texts.join(labels, F.col(n) == F.col("_text")).select(*names, label)
+        found = hits if found is None else found.unionByName(hits)
+    # Labels belong to distinct texts and are joined back, so equal input rows all stay.
+    found = found.distinct().select(*[F.col(n).alias(f"_u{n}") for n in names], label)
+    same = [F.col(n).eqNullSafe(F.col(f"_u{n}")) for n in names]
+    return df.select("*", *lowered).join(found, same).select(*df.columns, label)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stallwise.operators import maintain as A
 from stallwise.session import fresh_path
-from stallwise.sources.writers import write_partitioned
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
@@ -49,32 +48,51 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str | Column], val
     return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
+def _merged_posts(rows: DataFrame) -> DataFrame:
+    """One row per post: fixed columns from its earliest pull, changing ones from its latest; equal pulls are settled by value."""
+    marks = ("first_pulled", "last_pulled")
+    value = lambda c: F.max_by(c, F.struct("last_pulled", c)) if c in A.POST_UPDATES else F.min_by(c, F.struct("first_pulled", c))
+    columns = [value(c).alias(c) for c in rows.columns if c not in ("id", "batch", *marks)]
+    return rows.groupBy("id").agg(*columns, F.min("first_pulled").alias("first_pulled"), F.max("last_pulled").alias("last_pulled"))
+
+
 def posts_upsert(root: str) -> Callable[[DataFrame, int], None]:
-    """Sink that keeps each batch's posts in a folder of its own.
+    """Sink that keeps each batch's posts, with the times they were pulled, in a folder of its own.
 
     A batch costs what it brings, whatever the size of the table, and writing it
-    again after a failure replaces it; ``current_posts`` merges on read.
+    again after a failure replaces it; ``current_posts`` merges on read.  How
+    pulls fall into batches changes nothing.
     """
     def keep(batch: DataFrame, number: int) -> None:
-        A.first_rows(batch, [F.col("id")], F.struct(F.col("pulled"))).drop("pulled").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        rows = batch.withColumn("first_pulled", F.col("pulled")).withColumnRenamed("pulled", "last_pulled")
+        _merged_posts(rows).write.mode("overwrite").parquet(f"{root}/batch={number}")
     return keep
 
 
 def current_posts(spark: SparkSession, root: str) -> DataFrame:
-    """The merged table: fixed columns from a post's first batch, changing ones from its last; combined map-side."""
-    kept = spark.read.parquet(root)
-    others = [c for c in kept.columns if c not in ("id", "batch")]
-    return kept.groupBy("id").agg(*[(F.max_by if c in A.POST_UPDATES else F.min_by)(c, "batch").alias(c) for c in others])
+    """The merged table, combined map-side."""
+    return _merged_posts(spark.read.parquet(root)).drop("first_pulled", "last_pulled")
 
 
 def compact_posts(spark: SparkSession, root: str, target: str) -> None:
     """Write the merged table as the first batch of a new folder, for later batches to follow."""
-    current_posts(spark, root).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    _merged_posts(spark.read.parquet(root)).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
+CARD_KEY = ("run_id", "version", "tech_name")
 
 
-def run_ingest(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink that stages cards and replaces the runs a batch brings."""
+def run_ingest(root: str) -> Callable[[DataFrame, int], None]:
+    """Sink that stages the cards of each batch in a folder of its own.
+
+    A run may come in any number of batches; writing a batch again replaces it.
+    """
     def load(batch: DataFrame, number: int) -> None:
         valid = batch.filter(F.col("version").isNotNull() & F.col("tech_name").isNotNull())
-        write_partitioned(A.first_rows(valid, [F.col("run_id"), F.col("version"), F.col("tech_name")], F.col("file_pos")), path)
+        A.first_rows(valid, [F.col(c) for c in CARD_KEY], F.struct("file_pos")).write.mode("overwrite").parquet(f"{root}/batch={number}")
     return load
+
+
+def current_cards(spark: SparkSession, root: str) -> DataFrame:
+    """All runs, one card per run, version and name: the first in its file, whatever the batches."""
+    return A.first_rows(spark.read.parquet(root), [F.col(c) for c in CARD_KEY], F.struct("file_pos", "batch")).drop("batch")

@@ -68,3 +68,10 @@ def test_large_keyword_tables_are_refused_as_literals(spark):
 def test_zero_matches_are_kept(listing):
     got = {r["label"]: r["listings"] for r in N.counts_keep_zero(listing({"display_name": "ring"}), [M.niche("a", "ring"), M.niche("b", "zeppelin")]).collect()}
     assert got == {"a": 1, "b": 0}
+
+
+def test_fan_out_table_keeps_equal_rows(spark):
+    rows = spark.createDataFrame([("Red chair", "wood"), ("Red chair", "wood"), (None, "red"), ("x", None)], "name string, note string")
+    dim = spark.createDataFrame([("colour", "red"), ("stuff", "wood"), ("colour", "chair")], "label string, keyword string")
+    got = sorted((r["name"] or "", r["label"]) for r in M.fan_out_table(rows, ["name", "note"], dim).collect())
+    assert got == [("", "colour"), ("Red chair", "colour"), ("Red chair", "colour"), ("Red chair", "stuff"), ("Red chair", "stuff")]

@@ -47,3 +47,24 @@ def test_upsert_is_the_batch_merge_and_survives_repeats(spark, tmp_path):
     J.compact_posts(spark, root, compact)
     J.posts_upsert(compact)(pull.withColumn("pulled", F.lit(2)), 2)
     assert rows(J.current_posts(spark, compact)) == want
+
+
+def test_a_run_in_many_batches_is_whole(spark, tmp_path):
+    root = str(tmp_path / "cards")
+    ddl = "run_id string, version string, tech_name string, file_pos int, price_cents int"
+    sink = J.run_ingest(root)
+    for number, rows in enumerate([[("r", "1", "a", 5, 50)], [("r", "1", "b", 2, 20), ("r", None, "c", 3, 0)], [("r", "1", "a", 1, 10), ("r", "1", "a", 9, 90)]]):
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, ddl), number)
+    assert sorted((r["tech_name"], r["price_cents"]) for r in J.current_cards(spark, root).collect()) == [("a", 10), ("b", 20)]
+
+
+def test_pulls_in_one_batch_or_many_give_the_same(spark, tmp_path):
+    pulls = [(1, "a", 1, 1, 1, "x", 0), (1, "b", 7, 7, 7, "y", 1), (2, "c", 2, 2, 2, "z", 1)]
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    ddl = POST + ", pulled int"
+    J.posts_upsert(one)(spark.createDataFrame(pulls, ddl), 0)
+    for number, row in enumerate(reversed(pulls)):
+        J.posts_upsert(many)(spark.createDataFrame([row], ddl), number)
+    got = [sorted((r["id"], r["community"], r["score"]) for r in J.current_posts(spark, path).collect()) for path in (one, many)]
+    assert got[0] == got[1] == [(1, "a", 7), (2, "c", 2)]
