@@ -53,8 +53,7 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    read = pieces.encode(table(spark, sf_dir, "documents"), PIECES, decoded="decoded", keep=["doc_id"])
     return read.select("doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_tokens"), F.sha2("piece_ids", 256).alias("ids_sha256"),
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -123,6 +124,21 @@ def test_pieces_and_back(spark, docs):
     for r in pieces.decode(pieces.encode(docs, SP), SP).collect():
         ids = MODEL.encode(r["text"] or "", add_bos=True, add_eos=True)
         assert np.frombuffer(r["piece_ids"], "<u4").tolist() == ids and r["decoded"] == MODEL.decode(ids)
+    both = pieces.encode(docs, SP, decoded="back", keep=["doc_id"])
+    assert both.columns == ["doc_id", "piece_ids", "back"]
+    apart = pieces.decode(pieces.encode(docs, SP), SP).select("doc_id", "piece_ids", "decoded")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, both.collect()), key=key) == sorted(map(tuple, apart.collect()), key=key)
     assert pieces.encode(docs.limit(0), SP).count() == 0
     with pytest.raises(ValueError):
         pieces.encode(docs, SP, out="length")
+
+
+def test_portions_keep_order_and_bounds(monkeypatch):
+    monkeypatch.setattr(pieces, "ROWS", 3)
+    monkeypatch.setattr(pieces, "BYTES", 10)
+    texts = ["a" * 4, None, "b" * 30, "", "c" * 5, "d" * 5, "e", "", "", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    parts = [p.column(0).to_pylist() for p in pieces._portions(batch, 0)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
