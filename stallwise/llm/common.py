@@ -42,10 +42,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     contradicting labels not at all.
     """
     marks = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).filter("y = y2"))
-    chosen = docs.select("doc_id", text_of().alias("text")).filter(F.length("text") <= max_chars).join(marks, "doc_id")
-    rows = chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "text").limit(max_rows).select("text", "y").collect()
-    return [(r["text"], int(r["y"])) for r in rows]
+             .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).filter("y = y2").select("doc_id", "y"))
+    sizes = docs.select("doc_id", F.length(text_of()).alias("n")).filter(F.col("n") <= max_chars)
+    picked = sample_ids(sizes.join(marks, "doc_id").select("doc_id", "y"), max_rows, seed)
+    rows = texts_of(docs, picked).filter(F.length("text") <= max_chars)
+    return [(r["text"], int(r["y"])) for r in rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "text").limit(max_rows).select("text", "y").collect()]
+
+
+def sample_ids(ids: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """The first ``max_rows`` distinct rows of ``ids`` in the order of a hash of ``doc_id``; no text takes part."""
+    return ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), *ids.columns).limit(max_rows)
+
+
+def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """The texts of a sample whose number of ids is a parameter: that bound makes the broadcast safe, and no text is shuffled."""
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores in front until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:
