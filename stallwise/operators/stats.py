@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import exact
 from stallwise.functions.columns import rnd, safe_div
+from stallwise.session import fresh_path
 
 
 def long_form(df: DataFrame, columns: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
@@ -37,10 +38,13 @@ def spearman(bt: DataFrame, components: Sequence[str], against: str) -> DataFram
     """
     long = long_form(bt, {c: F.col(c) for c in components}, [against])
     pairs = long.groupBy("component", "value", against).agg(F.count(F.lit(1)).alias("w"))
-    # All ranks come from the combined pairs; the target is ranked per component, which is the same rows each time.
+    path = fresh_path(bt.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    pairs = bt.sparkSession.read.parquet(path)
+    # Every component has the same rows, so the target is ranked once, from the pairs of one of them.
     rx = exact.average_ranks(pairs, ["component"], "value", weight="w").select("component", "value", F.col("avg_rank").alias("rx"), "n")
-    ry = exact.average_ranks(pairs, ["component"], against, weight="w").select("component", against, F.col("avg_rank").alias("ry"))
-    joined = pairs.join(rx, ["component", "value"]).join(ry, ["component", against])
+    ry = exact.average_ranks(pairs.filter(F.col("component") == components[0]), [], against, weight="w").select(against, F.col("avg_rank").alias("ry"))
+    joined = pairs.join(rx, ["component", "value"]).join(ry, against)
     x, y, w = F.col("rx") - (F.col("n") + 1) / 2.0, F.col("ry") - (F.col("n") + 1) / 2.0, F.col("w")
     agg = joined.groupBy("component").agg(F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.max("n").alias("n"))
     r = safe_div(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))

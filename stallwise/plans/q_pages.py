@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwise.functions import columns as C
-from stallwise.operators import pages as G
+from stallwise.operators import crawl as W, pages as G
 from stallwise.plans import views as V
 from stallwise.plans.registry import query
+from stallwise.session import fresh_path
 
 L = F.lit
 
@@ -50,14 +51,58 @@ def set_distinct_urls(spark, sf):
     return a.unionByName(b).distinct()
 
 
-@query("page_crawl_frontier", """SELECT page_id AS page, (rn - 1)::INT AS level FROM (SELECT page_id, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS rn FROM pages) WHERE rn <= 4""")
+def site_pages(spark, sf):
+    """A site for each nation: a home page with its customers, a page for each customer with the orders, one for each order with its
+    customer and suppliers, one for each supplier; references take every form a page may use."""
+    nation, customer, orders, line, supplier = (V.table(spark, sf, t) for t in ("nation", "customer", "orders", "lineitem", "supplier"))
+    site = lambda n: F.concat(L("https://N"), n.cast("string"), L(".example.com:443"))
+    ref = lambda *parts: F.concat(*[L(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    links = lambda c: F.concat(L("<html><body><!-- <a href='/no'>no</a> -->"), F.array_join(F.array_sort(F.collect_set(c)), ""), L("</body></html>"))
+    home = customer.groupBy("c_nationkey").agg(links(ref("<a class=x href='c/", F.col("c_custkey"), "/'>c</a>")).alias("html")).select(site(F.col("c_nationkey")).alias("url"), "html")
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", F.col("c_nationkey").alias("n"))
+    people = placed.groupBy("n", "c_custkey").agg(links(ref('<a href="../../c/./../o/', F.col("o_orderkey"), '?a=1&amp;b=2#top">o</a>')).alias("html"))
+    people = people.select(F.concat(site(F.col("n")), L("/c/"), F.col("c_custkey").cast("string"), L("/")).alias("url"), "html")
+    sold = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = sold.groupBy("n", "o_orderkey", "c_custkey").agg(F.concat(
+        links(ref("<a href=//n", F.col("s_nationkey"), ".example.com/s/", F.col("s_suppkey"), ">s</a>")), ref('<A HREF="?p=2">2</A><a href="/c/', F.first("c_custkey"), '/">back</a>')).alias("html"))
+    bought = bought.select(F.concat(site(F.col("n")), L("/o/"), F.col("o_orderkey").cast("string"), L("?a=1&b=2")).alias("url"), "html")
+    shops = supplier.select(F.concat(site(F.col("s_nationkey")), L("/s/"), F.col("s_suppkey").cast("string")).alias("url"), L("<p>no links</p>").alias("html"))
+    return home.unionByName(people).unionByName(bought).unionByName(shops)
+
+
+# The same links from the keys alone; a link leads on where its page is stored.
+_SITES = """sites AS (SELECT 'https://n' || c_nationkey || '.example.com' AS site, c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+edges AS (
+  SELECT site || '/' AS src, site || '/c/' || c_custkey || '/' AS dst FROM sites WHERE o_orderkey IS NOT NULL
+  UNION SELECT site || '/c/' || c_custkey || '/', site || '/o/' || o_orderkey || '?a=1&b=2' FROM sites JOIN lineitem ON l_orderkey = o_orderkey
+  UNION SELECT site || '/o/' || o_orderkey || '?a=1&b=2', site || '/c/' || c_custkey || '/' FROM sites JOIN lineitem ON l_orderkey = o_orderkey
+  UNION SELECT site || '/o/' || o_orderkey || '?a=1&b=2', site || '/s/' || s_suppkey FROM sites JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    AND site = 'https://n' || s_nationkey || '.example.com'),
+walk(page, level) AS (
+  SELECT DISTINCT 'https://n' || c_nationkey || '.example.com/', 0 FROM customer
+  UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = page WHERE level < 3),
+reached AS (SELECT page, min(level) AS level FROM walk GROUP BY page)"""
+
+
+@query("page_crawl_frontier", f"WITH RECURSIVE {_SITES} SELECT page, level FROM reached")
 def page_crawl_frontier(spark, sf):
-    from pyspark.sql import Window as W
+    """Three links deep from every home page."""
+    stored, starts = _site(spark, sf)
+    return W.crawl(stored, W.link_table(stored), starts, 3)
 
-    site = W.partitionBy(F.split_part("url", L("/"), L(3))).orderBy("page_id")
-    chain = pages(spark, sf).select("page_id", "url").withColumn("dst", F.lead("page_id").over(site)).withColumn("prev", F.lag("page_id").over(site))
-    edges = chain.filter("dst IS NOT NULL").select(F.col("page_id").alias("src"), "dst")
-    return G.crawl_frontier(edges, chain.filter("prev IS NULL").select(F.col("page_id").alias("src")), 3)
+
+@query("page_crawl_budget", f"WITH RECURSIVE {_SITES} SELECT page, level FROM reached ORDER BY level, page LIMIT (SELECT 25 + count(*) // 2 FROM customer)")
+def page_crawl_budget(spark, sf):
+    """The same crawl with a budget of pages that ends inside a level."""
+    stored, starts = _site(spark, sf)
+    return W.crawl(stored, W.link_table(stored), starts, 3, max_pages=25 + V.table(spark, sf, "customer").count() // 2)
+
+
+def _site(spark, sf):
+    path = fresh_path(spark, "site")
+    site_pages(spark, sf).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored, stored.filter(F.col("url").rlike(":443$")).select(F.col("url").alias("page"))
 
 
 # ---- laid-out pages ----------------------------------------------------------
