@@ -14,7 +14,10 @@ from stallwise.functions import columns as C, match as M
 from stallwise.functions.match import Niche
 from stallwise.operators import forum, maintain, market, niches as niche_ops, partners as partner_ops, scoring, validate as idea
 from stallwise.operators.market import desc, rank_within, top
+from stallwise import schemas
+from stallwise.session import fresh_path
 from stallwise.sources import readers
+from stallwise.sources.arrays import read_json_array
 from stallwise.sources.writers import write_partitioned
 
 
@@ -27,11 +30,17 @@ def of_run(snapshots: DataFrame, run_id: str | None = None) -> DataFrame:
 
 def load_run(spark: SparkSession, run_dir: str, facts_path: str, run_id: str) -> None:
     """Load one crawl folder (apps.json, run.json) into the fact table; loading again replaces it."""
-    cards = readers.read_cards(spark, f"{run_dir}/apps.json")
-    # A card's place in its file settles which duplicate stays.
-    placed = cards.withColumn("file_pos", F.monotonically_increasing_id())
-    started = readers.read_run_meta(spark, f"{run_dir}/run.json").agg(F.max("started_at").alias("s")).scalar()
-    write_partitioned(maintain.to_snapshots(placed, run_id, started), facts_path)
+    # A card's byte in its file settles which duplicate stays, however the file is split.
+    placed = read_json_array(spark, f"{run_dir}/apps.json", schemas.CARD).withColumnRenamed("_pos", "file_pos").drop("_file")
+    meta = readers.read_run_meta(spark, f"{run_dir}/run.json", multi_line=True)
+    refuse_unstarted(meta)
+    write_partitioned(maintain.to_snapshots(placed, run_id, meta.agg(F.max("started_at").alias("s")).scalar()), facts_path)
+
+
+def refuse_unstarted(meta: DataFrame) -> None:
+    bad = [r["folder"] for r in meta.filter("started_at IS NULL OR run_id IS NULL").select("folder").limit(5).collect()]
+    if bad:
+        raise ValueError(f"runs without an id or a start time: {bad}")
 
 
 def load_all(spark: SparkSession, root: str, facts_path: str) -> list[str]:
@@ -42,6 +51,51 @@ def load_all(spark: SparkSession, root: str, facts_path: str) -> list[str]:
     return [r["run"] for r in found]
 
 
+def load_tables(spark: SparkSession, root: str, tables: str) -> None:
+    """Load all run folders ``root/<day>/<run>/`` in one job into the tables ``runs``, ``apps`` and ``snapshots`` under ``tables``.
+
+    Runs that are there already are replaced: their facts get the numbers after
+    the greatest of the other runs, so loading the same folders again gives the
+    same tables.  A listing keeps the earliest run that had it as ``first_seen``
+    and the latest as ``last_seen``, whatever the order of loading.  A crawl's
+    array is read by as many tasks as its size asks for.
+    """
+    meta = readers.read_run_meta(spark, f"{root}/*/*/run.json", multi_line=True)
+    refuse_unstarted(meta)
+    runs = meta.groupBy("run_id").agg(F.max(F.struct("started_at", "finished_at", "page_count", "app_count", "note", "folder")).alias("r")).select("run_id", "r.*")
+    cards = read_json_array(spark, f"{root}/*/*/apps.json", schemas.CARD).withColumn("folder", F.regexp_replace("_file", "/[^/]*$", ""))
+    of_runs = cards.join(runs.select("run_id", F.col("started_at").alias("captured_at"), "folder"), "folder")
+    valid = of_runs.filter(F.col("version").isNotNull() & F.col("tech_name").isNotNull())
+    first = maintain.first_rows(valid, [F.col("run_id"), F.col("version"), F.col("tech_name")], F.col("_pos"))
+    facts = first.select("run_id", C.app_key().alias("app_key"), "captured_at", *[c for c in schemas.fields(schemas.CARD)])
+    # Facts are stored once; ids, apps and the run table all come from that copy.
+    staged = fresh_path(spark, "facts")
+    facts.write.parquet(staged)
+    facts = spark.read.parquet(staged)
+    old = _stored(spark, f"{tables}/snapshots")
+    kept = None if old is None else old.join(runs.select("run_id"), "run_id", "left_anti")
+    top_id = F.lit(0) if kept is None else kept.agg(F.max("snapshot_id").alias("m")).scalar()
+    numbered = maintain.surrogate_ids(top_id, facts.withColumn("_key", F.concat_ws("/", "run_id", "app_key")), "_key").drop("_key")
+    ids = fresh_path(spark, "numbered")
+    numbered.write.parquet(ids)
+    write_partitioned(spark.read.parquet(ids), f"{tables}/snapshots")
+    write_partitioned(runs.drop("folder"), f"{tables}/runs")
+    new_apps = facts.groupBy("app_key", "tech_name", "version").agg(F.min("captured_at").alias("first_seen"), F.max("captured_at").alias("last_seen"))
+    old_apps = _stored(spark, f"{tables}/apps")
+    both = new_apps if old_apps is None else old_apps.select(new_apps.columns).unionByName(new_apps)
+    apps = both.groupBy("app_key").agg(F.min("tech_name").alias("tech_name"), F.min("version").alias("version"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    merged = fresh_path(spark, "apps")
+    apps.write.parquet(merged)
+    spark.read.parquet(merged).write.mode("overwrite").parquet(f"{tables}/apps")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written yet."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    return spark.read.parquet(path) if there else None
+
+
 def score(snapshots: DataFrame, run_id: str | None = None) -> DataFrame:
     return scoring.score_apps(of_run(snapshots, run_id))
 

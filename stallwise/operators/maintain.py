@@ -66,9 +66,22 @@ def info(runs: DataFrame, apps: DataFrame, snapshots: DataFrame) -> DataFrame:
 POST_UPDATES = ("score", "num_comments", "last_seen", "signals")
 
 
+def one_per_post(pulled: DataFrame) -> DataFrame:
+    """One row per id: fixed columns from the earliest copy by ``last_seen``, changing ones from the latest.
+
+    Copies of one time are settled by value, so the order of rows changes nothing; combined map-side.
+    """
+    at = lambda c: F.struct("last_seen", c)
+    picked = [(F.max_by(c, at(c)) if c in POST_UPDATES else F.min_by(c, at(c))).alias(c) for c in pulled.columns if c != "id"]
+    return pulled.groupBy("id").agg(*picked).select(pulled.columns)
+
+
 def upsert_posts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Known posts take only the changing columns from the newest copy; ``change`` says what happened."""
-    e, i = existing.alias("e"), incoming.alias("i")
+    """Known posts take only the changing columns from the newest copy; ``change`` says what happened.
+
+    Both sides may hold an id any number of times: each is reduced to one row before they meet.
+    """
+    e, i = one_per_post(existing).alias("e"), one_per_post(incoming).alias("i")
     both = e.join(i, F.col("e.id") == F.col("i.id"), "full_outer")
     pick = lambda c: F.coalesce(f"i.{c}", f"e.{c}") if c in POST_UPDATES else F.coalesce(f"e.{c}", f"i.{c}")
     change = F.when(F.col("e.id").isNull(), "new").when(F.col("i.id").isNotNull(), "updated").otherwise("kept")

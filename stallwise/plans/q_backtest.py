@@ -170,12 +170,43 @@ def stat_threshold_f1(spark, sf):
     return S.threshold_f1(wl(spark, sf))
 
 
-@query("ml_logistic_single")
+# The same optimum by one coordinate at a time: each step of the recursion moves one weight by its own Newton step.
+def _logit(data: str, k: int, steps: int) -> str:
+    return f"""(WITH RECURSIVE it(i, b) AS (SELECT 0, list_transform(range({k}), lambda j: 0e0)
+    UNION ALL SELECT i + 1, list_transform(range({k}), lambda j: b[j + 1] - CASE WHEN j = i % {k} THEN g / h ELSE 0e0 END) FROM (
+    SELECT i, b, sum(w * (p - y) * xj) + CASE WHEN i % {k} = 0 THEN 0e0 ELSE b[i % {k} + 1] END AS g, sum(w * p * (1e0 - p) * xj * xj) + CASE WHEN i % {k} = 0 THEN 1e-12 ELSE 1e0 END AS h
+    FROM (SELECT it.i, it.b, d.w, d.y, d.x[it.i % {k} + 1] AS xj, 1e0 / (1e0 + exp(-list_dot_product(d.x, it.b))) AS p FROM it, {data} d WHERE it.i < {steps}) GROUP BY i, b))
+    SELECT b FROM it ORDER BY i DESC LIMIT 1)"""
+
+
+def _centred(source: str, columns, extra: str) -> str:
+    """Rows of ``source`` with columns shifted by their mean (``m_``) and their deviation (``s_``)."""
+    means = ", ".join(f"sum(w * {c}) OVER () / sum(w) OVER () AS m_{c}" for c in columns)
+    devs = ", ".join(f"sqrt(sum(w * ({c} - m_{c}) * ({c} - m_{c})) OVER () / sum(w) OVER ()) AS s_{c}" for c in columns)
+    return f"SELECT *, {extra} AS x FROM (SELECT *, {devs} FROM (SELECT *, {means} FROM {source}))"
+
+
+_scaled = lambda c, v: f"({v} - m_{c}) / CASE WHEN s_{c} > 1e-9 THEN s_{c} ELSE 1e0 END"
+ML = {
+    **BT,
+    "ones": "SELECT viability, (total_purchases >= 100)::INT AS y, count(*)::DOUBLE AS w FROM bt GROUP BY ALL",
+    "onesx": _centred("ones", ["viability"], "[1e0, viability - m_viability]"),
+    "onesb": f"SELECT b, (SELECT any_value(m_viability) FROM onesx) AS m FROM {_logit('onesx', 2, 60)}",
+    "sixes": f"SELECT {', '.join(B.COMPONENTS)}, (total_purchases >= 100)::INT AS y, count(*)::DOUBLE AS w FROM bt GROUP BY ALL",
+    "sixesx": _centred("sixes", B.COMPONENTS, f"[1e0, {', '.join(_scaled(c, c) for c in B.COMPONENTS)}]"),
+    "sixesb": f"SELECT b FROM {_logit('sixesx', len(B.COMPONENTS) + 1, 700)}",
+}
+PROBE = [90, 60, 50, 70, 70, 50]
+
+
+@query("ml_logistic_single", f"SELECT v AS viability, {rnd('1e0 / (1e0 + exp(-(b[1] + b[2] * (v - m))))', 4)} AS p FROM onesb, (SELECT unnest({L.GRID}) AS v)", ML)
 def ml_logistic_single(spark, sf):
     return L.logistic_single(bt(spark, sf))
 
 
-@query("ml_calibration")
+@query("ml_calibration", f"""SELECT *, CASE WHEN abs(predicted - observed) < 0.05e0 THEN 'WELL' ELSE 'OFF' END AS verdict FROM (
+    SELECT bin, sum(w) AS n, {rnd('sum(p * w) / sum(w)', 4)} AS predicted, {rnd('sum(y * w) / sum(w)', 4)} AS observed FROM (
+    SELECT least(floor(p * 6), 5)::INT AS bin, * FROM (SELECT y, w, 1e0 / (1e0 + exp(-(b[1] + b[2] * (viability - m)))) AS p FROM ones, onesb)) GROUP BY bin)""", ML)
 def ml_calibration(spark, sf):
     return L.calibration(bt(spark, sf))
 
@@ -185,11 +216,23 @@ def ml_cv_auc(spark, sf):
     return L.cv_auc(bt(spark, sf), B.COMPONENTS)
 
 
-@query("ml_component_importance")
+@query("ml_folds", """SELECT app_key, y AS label, (len(list_filter(ends, lambda e: e <= nth)))::INT AS fold FROM (
+    SELECT app_key, y, row_number() OVER (PARTITION BY y ORDER BY app_key) - 1 AS nth FROM (SELECT app_key, (total_purchases >= 100)::INT AS y FROM bt)) JOIN (
+    SELECT y, list_transform(range(1, 6), lambda k: list_sum(list_transform(range(k), lambda i: (start + size - i + 4) // 5 - (start - i + 4) // 5))) AS ends FROM (
+    SELECT y, size, (sum(size) OVER (ORDER BY first) - size)::BIGINT AS start FROM (
+    SELECT y, count(*) AS size, min(app_key) AS first FROM (SELECT app_key, (total_purchases >= 100)::INT AS y FROM bt) GROUP BY y))) USING (y)""", BT)
+def ml_folds(spark, sf):
+    """Test folds of the cross-validation: unshuffled and stratified."""
+    return L.stratified_folds(L.labelled(bt(spark, sf)).select("app_key", "label"))
+
+
+@query("ml_component_importance", f"SELECT unnest({B.COMPONENTS}) AS component, unnest(list_transform(b[2:], lambda v: {rnd('v', 4)})) AS coefficient FROM sixesb", ML)
 def ml_component_importance(spark, sf):
     return L.component_importance(bt(spark, sf), B.COMPONENTS)
 
 
-@query("ml_point_estimate")
+@query("ml_point_estimate", f"""SELECT {rnd('p', 4)} AS p, {rnd('base', 4)} AS base_rate, {rnd('p / base', 3)} AS lift FROM (
+    SELECT 1e0 / (1e0 + exp(-list_dot_product(b, [1e0, {', '.join(_scaled(c, v) for c, v in zip(B.COMPONENTS, PROBE))}]))) AS p, (SELECT sum(w * y) / sum(w) FROM sixes) AS base
+    FROM sixesb, (SELECT * FROM sixesx LIMIT 1))""", ML)
 def ml_point_estimate(spark, sf):
-    return L.point_estimate(bt(spark, sf), B.COMPONENTS, [90, 60, 50, 70, 70, 50])
+    return L.point_estimate(bt(spark, sf), B.COMPONENTS, PROBE)

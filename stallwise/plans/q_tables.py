@@ -9,6 +9,7 @@ from stallwise.functions import columns as C
 from stallwise.operators import maintain as A, market as K, partners as P, scoring as S
 from stallwise.plans import views as V
 from stallwise.plans.registry import query
+from stallwise.sources.arrays import read_json_array
 from stallwise.plans.sqlviews import rnd
 from stallwise.session import fresh_path
 from stallwise.sources import readers as R, writers as O
@@ -35,6 +36,18 @@ def src_run_meta(spark, sf):
     return R.read_run_meta(spark, path).select("run_id", _day("started_at").alias("started_at"), F.col("finished_at").isNotNull().alias("finished"))
 
 
+@query("src_json_array", f"SELECT {_PICK}, detail_url FROM listings")
+def src_json_array(spark, sf):
+    """Cards as one array in one file, read by several tasks."""
+    lines, one = fresh_path(spark, "lines"), fresh_path(spark, "array")
+    cards = V.listings(spark, sf).select(*_CARD)
+    text = F.concat(F.to_json(F.struct(*_CARD)), F.lit(","))
+    cards.select(text.alias("value")).coalesce(1).write.option("lineSep", "\n").text(lines)
+    ends = [spark.createDataFrame([(v,)], "value string").coalesce(1) for v in ("[", "{}]")]
+    ends[0].unionByName(spark.read.text(lines)).unionByName(ends[1]).coalesce(1).write.text(one)
+    return read_json_array(spark, one, schemas.CARD).filter("tech_name IS NOT NULL").select(*_PICK.split(", "), "detail_url")
+
+
 @query("src_run_discovery", "SELECT 'day=' || strftime(started_at, '%Y-%m-%d') AS day, 'run=' || run_id AS run, run_id = 'run-3' AS is_latest FROM runs")
 def src_run_discovery(spark, sf):
     path = fresh_path(spark, "tree")
@@ -196,6 +209,14 @@ def tbl_upsert_posts(spark, sf):
     return A.upsert_posts(*_post_copies(spark, sf)).drop("title")
 
 
+@query("tbl_upsert_repeats", f"SELECT id, community, score + 7 * (change <> 'kept')::INT AS score, num_comments, first_seen, CASE WHEN change = 'kept' THEN last_seen ELSE '2024-02-03' END AS last_seen, signals, change FROM ({_UPSERT})")
+def tbl_upsert_repeats(spark, sf):
+    """Each post of the pull comes three times, in any order: the first copy's text and the last copy's counts win."""
+    old, new = _post_copies(spark, sf)
+    later = lambda day, by: new.withColumns({"last_seen": F.lit(day), "score": F.col("score") + by, "community": F.lit("late"), "first_seen": F.lit(day)})
+    return A.upsert_posts(old.unionByName(old), later("2024-02-03", 7).unionByName(new).unionByName(later("2024-02-02", 3))).drop("title")
+
+
 @query("tbl_upsert_counts", f"SELECT count_if(change = 'new') AS new, count_if(change = 'updated') AS updated FROM ({_UPSERT})")
 def tbl_upsert_counts(spark, sf):
     return A.change_counts(A.upsert_posts(*_post_copies(spark, sf)))

@@ -12,11 +12,17 @@ def read_cards(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     return spark.read.schema(schemas.CARD).option("multiLine", multi_line).json(path)
 
 
-def read_run_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Run records with ISO times; the finish may be missing."""
-    raw = spark.read.schema("run_id string, started_at string, finished_at string, page_count bigint, app_count bigint, note string").json(path)
+def read_run_meta(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Run records with ISO times; the finish may be missing.  ``multi_line``: one indented object per (small) file.
+
+    Counts are read under the names ``page_count`` / ``app_count`` or, as crawls write them, ``pages_scraped`` / ``total_cards``.
+    """
+    names = "run_id string, started_at string, finished_at string, page_count bigint, app_count bigint, pages_scraped bigint, total_cards bigint, note string"
+    raw = spark.read.schema(names).option("multiLine", multi_line).json(path)
     iso = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
-    return raw.withColumn("started_at", iso("started_at")).withColumn("finished_at", iso("finished_at"))
+    return raw.select("run_id", iso(F.col("started_at")).alias("started_at"), iso(F.col("finished_at")).alias("finished_at"),
+                      F.coalesce("page_count", "pages_scraped").alias("page_count"), F.coalesce("app_count", "total_cards").alias("app_count"), "note",
+                      F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"))
 
 
 def discover_runs(spark: SparkSession, root: str, marker: str = "run.json") -> DataFrame:

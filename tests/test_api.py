@@ -60,3 +60,33 @@ def test_load_all_is_idempotent(spark, tmp_path):
         assert api.load_all(spark, str(tmp_path / "snapshots"), facts) == ["a", "b"]
     rows = spark.read.parquet(facts).collect()
     assert sorted((r["run_id"], r["tech_name"], r["summary"]) for r in rows) == [("a", "t0", "s0"), ("a", "t1", "s1"), ("b", "t0", "s0"), ("b", "t1", "s1"), ("b", "t2", "s2")]
+
+
+def _crawl(root, day, run, names, started=True):
+    d = root / day / run
+    d.mkdir(parents=True, exist_ok=True)
+    meta = {"run_id": run, "started_at": f"{day}T00:00:00+00:00" if started else None, "finished_at": None, "pages_scraped": 2, "total_cards": len(names)}
+    (d / "run.json").write_text(json.dumps(meta, indent=2))
+    cards = [{"version": "17.0", "tech_name": n, "summary": f"{run} {{{i}"} for i, n in enumerate(names)] + [{"version": "17.0", "tech_name": names[0], "summary": "dup"}, {"version": None, "tech_name": "x"}]
+    (d / "apps.json").write_text(json.dumps(cards, indent=2))
+
+
+def test_load_tables_twice_gives_equal_tables(spark, tmp_path):
+    root, tables = tmp_path / "snapshots", str(tmp_path / "tables")
+    _crawl(root, "2026-05-08", "b", ["t0", "t2"])
+    api.load_tables(spark, str(root), tables)
+    _crawl(root, "2026-05-01", "a", ["t0", "t1"])
+    seen = []
+    for _ in range(2):
+        api.load_tables(spark, str(root), tables)
+        seen.append({t: sorted(map(str, spark.read.parquet(f"{tables}/{t}").collect())) for t in ("runs", "apps", "snapshots")})
+    assert seen[0] == seen[1]
+    facts = spark.read.parquet(f"{tables}/snapshots").collect()
+    assert sorted((r["run_id"], r["app_key"], r["summary"]) for r in facts) == [("a", "17.0/t0", "a {0"), ("a", "17.0/t1", "a {1"), ("b", "17.0/t0", "b {0"), ("b", "17.0/t2", "b {1")]
+    assert sorted(r["snapshot_id"] for r in facts) == [1, 2, 3, 4]
+    apps = {r["tech_name"]: (str(r["first_seen"])[:10], str(r["last_seen"])[:10]) for r in spark.read.parquet(f"{tables}/apps").collect()}
+    assert apps == {"t0": ("2026-05-01", "2026-05-08"), "t1": ("2026-05-01", "2026-05-01"), "t2": ("2026-05-08", "2026-05-08")}
+    assert {(r["run_id"], r["page_count"], r["app_count"]) for r in spark.read.parquet(f"{tables}/runs").collect()} == {("a", 2, 2), ("b", 2, 2)}
+    _crawl(root, "2026-05-09", "c", ["t0"], started=False)
+    with pytest.raises(ValueError):
+        api.load_tables(spark, str(root), tables)
