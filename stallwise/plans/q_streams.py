@@ -54,6 +54,35 @@ def st_activity_sessions(spark, sf):
     return spark.read.parquet(out).select("user_id", _fmt("s.start").alias("start"), "n")
 
 
+_SESSIONS = """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+    SELECT *, sum(CASE WHEN ts <= p + INTERVAL 4 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s"""
+
+
+def _live(spark, stream, batches):
+    J.run_available(J.live_sessions(stream, "user_id", "ts", 4 * 3600), sink=J.keep_updates(batches), mode="update")
+    return J.latest_sessions(spark, batches, "user_id").select("user_id", _fmt("start").alias("start"), "n")
+
+
+@query("st_live_sessions", _SESSIONS)
+def st_live_sessions(spark, sf):
+    """Closed sessions and those still open, in one batch."""
+    return _live(spark, events(spark, sf), fresh_path(spark, "sessions"))
+
+
+@query("st_live_sessions_batches", _SESSIONS)
+def st_live_sessions_batches(spark, sf):
+    """The same from several batches in the order of time: sessions that cross a border go on."""
+    folder = fresh_path(spark, "events")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(5):  # one after the other, so that files are as old as their events
+        begin, end = (first + (last - first) / 5 * i for i in (k, k + 1))
+        rows.filter((F.col("ts") >= begin) & (F.col("ts") < end) if k < 4 else F.col("ts") >= begin).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _live(spark, stream.withColumn("ts", F.col("ts").cast("timestamp")), fresh_path(spark, "sessions"))
+
+
 @query("st_posts_upsert", """SELECT id, CASE WHEN first_seen > '2024-01-20' THEN 'moved' ELSE community END AS community, CASE WHEN first_seen >= '2024-01-15' THEN score + 5 ELSE score END AS score,
     CASE WHEN first_seen >= '2024-01-15' THEN 'b' ELSE 'a' END AS signals FROM posts""")
 def st_posts_upsert(spark, sf):

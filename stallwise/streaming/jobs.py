@@ -39,6 +39,65 @@ def sessions(stream: DataFrame, by: str, at: str, gap: str, delay: str = "1 hour
     return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("s"), by).agg(F.count(F.lit(1)).alias("n"))
 
 
+SESSION = "start timestamp, last timestamp, n long, final boolean"
+
+
+def merged_sessions(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(first, last, count) spans that lie at most ``gap`` apart, put together."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(spans):
+        if out and first <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
+def live_sessions(stream: DataFrame, by: str, at: str, gap_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Sessions as they are known after each batch: ``by``, ``start``, ``last``, ``n`` and whether the session is ``final``.
+
+    Open sessions come out provisionally whenever they change; a timer on event
+    time closes them once the watermark has passed their end, and only open ones
+    are kept as state.  A late event may join two sessions or move a start; the
+    start that is gone then comes out with ``n`` 0.  ``latest_sessions`` folds the updates.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    gap = gap_seconds * 1_000_000
+
+    def step(key: tuple, frames, state: GroupState):
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        events = [] if state.hasTimedOut else [(t, t, 1) for pdf in frames for t in pdf["_at"].tolist()]
+        now = merged_sessions([*held, *events], gap)
+        mark = state.getCurrentWatermarkMs() * 1000
+        final = [s for s in now if s[1] + gap <= mark]
+        still = [s for s in now if s[1] + gap > mark]
+        before = set(held)
+        gone = {s[0] for s in held} - {s[0] for s in now}
+        out = [(*s, True) for s in final] + [(*s, False) for s in still if s not in before] + [(first, first, 0, True) for first in gone]
+        if still:
+            state.update(tuple(list(x) for x in zip(*still, strict=True)))
+            # A timer has to lie after the watermark; it fires once the first of the open sessions has ended.
+            state.setTimeoutTimestamp(max(min(s[1] for s in still) + gap, mark + 1000) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        rows = pd.DataFrame(out, columns=["start", "last", "n", "final"])
+        yield pd.DataFrame({by: [key[0]] * len(out), "start": pd.to_datetime(rows["start"], unit="us"), "last": pd.to_datetime(rows["last"], unit="us"),
+                            "n": rows["n"].astype("int64"), "final": rows["final"].astype(bool)})
+
+    kind = stream.schema[by].dataType.simpleString()
+    micros = stream.withWatermark(at, delay).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
+    return micros.select(by, at, "_at").groupBy(by).applyInPandasWithState(
+        step, f"`{by}` {kind}, {SESSION}", "first array<long>, last array<long>, n array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_sessions(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """The newest word on every session; starts that are gone are left out."""
+    newest = spark.read.parquet(path).groupBy(by, "start").agg(F.max_by(F.struct("last", "n", "final"), F.struct("batch", "n")).alias("s"))
+    return newest.select(by, "start", "s.*").filter("n > 0")
+
+
 def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
     """Sink for update mode: each batch's changed groups in a folder of its own, safe to write again."""
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
