@@ -109,7 +109,7 @@ def niche(snapshots: DataFrame, keyword: str, n: int = 20, name_only: bool = Fal
     fields = ["display_name"] if name_only else list(niche_ops.BOTH)
     hits = score(snapshots, run_id).filter(M.contains(fields, [keyword]))
     return {"apps": top(hits, [desc("opportunity_score"), F.col("app_key")], n), "totals": niche_ops.rollup(hits, [M.niche(keyword, keyword)], fields),
-            "gate": scoring.day1_gate(hits, n)}
+            "gate": scoring.day1_gate(hits)}
 
 
 def card(snapshots: DataFrame, n: int = 10, run_id: str | None = None) -> DataFrame:
@@ -160,8 +160,9 @@ def validate(snapshots: DataFrame, ideas: Sequence[Niche], name_only: bool = Tru
                        idea.pivots().alias("pivots"), idea.actions(v).alias("actions"))
 
 
-def partner_fit(profiles: DataFrame, min_score: int = 60, n: int = 50) -> DataFrame:
-    best = partner_ops.top_partners(partner_ops.score_fit(profiles), min_score, n).withColumn("_one", F.lit(1))
+def partner_fit(profiles: DataFrame, min_score: int = 60, n: int = 50, refs: DataFrame | None = None) -> DataFrame:
+    """The best partners; ``refs`` (partner_id, client_name) stand for a column ``clients``."""
+    best = partner_ops.top_partners(partner_ops.score_fit(profiles, refs=refs), min_score, n).withColumn("_one", F.lit(1))
     return rank_within(best, ["_one"], [desc("fit"), F.col("partner_id")], n).drop("_one")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stallwise.functions import match as M
 from stallwise.functions.columns import rnd, safe_div
 from stallwise.operators.maintain import first_rows
-from stallwise.operators.market import desc, top
+from stallwise.operators.market import desc, rank_within, top
 
 # Words of partners that move clients between systems.
 FIT_WORDS = ["quickbooks", "qb", "accounting software", "erp migration", "migration", "accounting", "finance", "bookkeeping", "small business", "smb", "implementation"]
@@ -22,8 +22,38 @@ BANDS = [(90, "90-100"), (70, "70-89"), (50, "50-69"), (30, "30-49"), (0, "0-29"
 GRADES = ["Gold", "Silver", "Ready", "Unknown"]
 
 
-def profile_text() -> Column:
-    return F.lower(F.concat_ws(" ", "name", "description", F.array_join("industries", " "), F.array_join("clients", " ")))
+def profile_text(clients: bool = True) -> Column:
+    parts = ["name", "description", F.array_join("industries", " ")] + ([F.array_join("clients", " ")] if clients else [])
+    return F.lower(F.concat_ws(" ", *parts))
+
+
+def edge_hits(refs: DataFrame, words: Sequence[str], text: str = "client_name") -> DataFrame:
+    """``_partner`` and a flag ``_e0``, ``_e1``, ... for each word that any of its references holds.
+
+    Flags are taken edge by edge and combined by ``max`` before the shuffle, so no list of references is ever built.
+    """
+    hit = lambda w: F.max(F.coalesce(F.lower(text).contains(w.lower()), F.lit(False)))
+    return refs.groupBy(F.col("partner_id").alias("_partner")).agg(*[hit(w).alias(f"_e{i}") for i, w in enumerate(words)])
+
+
+def with_hits(partners: DataFrame, words: Sequence[str], refs: DataFrame | None) -> tuple[DataFrame, list[Column]]:
+    """``partners`` and one condition per word: found in the profile's text or, if ``refs`` is given, in a reference.
+
+    A word is looked for inside one text; without ``refs`` the column ``clients`` is part of the profile.
+    """
+    if refs is None:
+        return partners.withColumn("_text", profile_text()), [F.col("_text").contains(w.lower()) for w in words]
+    met = partners.withColumn("_text", profile_text(clients=False)).join(edge_hits(refs, words), F.col("partner_id") == F.col("_partner"), "left")
+    return met, [F.col("_text").contains(w.lower()) | F.coalesce(F.col(f"_e{i}"), F.lit(False)) for i, w in enumerate(words)]
+
+
+def first_clients(refs: DataFrame, k: int = 3) -> DataFrame:
+    """``_partner``, its first ``k`` client names and the number of all; ranks above ``k`` go before the shuffle."""
+    names = refs.select("partner_id", "client_name").distinct()
+    best = rank_within(names, ["partner_id"], [F.col("client_name")], k, "_r")
+    some = best.groupBy(F.col("partner_id").alias("_partner")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "client_name"))), lambda c: c["client_name"]).alias("clients"))
+    counts = names.groupBy(F.col("partner_id").alias("_q")).agg(F.count("*").alias("n_clients"))
+    return some.join(counts, F.col("_partner") == F.col("_q")).drop("_q")
 
 
 def level(certification: str = "grade") -> Column:
@@ -37,18 +67,19 @@ def employees_mid(c: str = "employees") -> Column:
     return (part(1) + part(2)) / 2.0
 
 
-def score_fit(partners: DataFrame, words: Sequence[str] = FIT_WORDS, ready: Sequence[str] = READY_INDUSTRIES) -> DataFrame:
-    """Fit 0-100 and its five parts."""
+def score_fit(partners: DataFrame, words: Sequence[str] = FIT_WORDS, ready: Sequence[str] = READY_INDUSTRIES, refs: DataFrame | None = None) -> DataFrame:
+    """Fit 0-100 and its five parts; references come as ``refs`` (partner_id, client_name) or in a column ``clients``."""
     has = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 5).otherwise(0)
-    hits = sum((F.when(F.col("_text").contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    base, found = with_hits(partners, words, refs)
+    hits = sum((F.when(f, 1).otherwise(0) for f in found), F.lit(0))
     matching = F.size(F.filter("industries", lambda i: M.any_of(F.lower(i).contains(r) for r in ready)))
     mid = employees_mid()
     size = F.when(mid.between(20, 200), 15).when(mid.between(10, 500), 10).otherwise(0)
-    scored = partners.withColumn("_text", profile_text()).select(
-        "*", F.least(F.lit(30), hits * 5).alias("keyword_match"), F.least(F.lit(20), matching * 5).alias("industry_match"),
+    scored = base.select(
+        *partners.columns, F.least(F.lit(30), hits * 5).alias("keyword_match"), F.least(F.lit(20), matching * 5).alias("industry_match"),
         (level() * 10).alias("certification_points"), size.alias("employee_count"), (has("email") + has("phone") + has("website")).alias("contact_quality"))
     parts = sum((F.col(c) for c in PARTS), F.lit(0))
-    return scored.withColumn("fit", F.least(F.lit(100), parts)).drop("_text")
+    return scored.withColumn("fit", F.least(F.lit(100), parts))
 
 
 PARTS = ["keyword_match", "industry_match", "certification_points", "employee_count", "contact_quality"]
@@ -71,8 +102,9 @@ def share_by(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")).withColumn("pct", rnd(safe_div(F.col("n") * 100.0, whole), 1))
 
 
-def keyword_filter(partners: DataFrame, words: Sequence[str]) -> DataFrame:
-    return partners.withColumn("_text", profile_text()).filter(M.any_of(F.col("_text").contains(w.lower()) for w in words)).drop("_text")
+def keyword_filter(partners: DataFrame, words: Sequence[str], refs: DataFrame | None = None) -> DataFrame:
+    base, found = with_hits(partners, words, refs)
+    return base.filter(M.any_of(found)).select(*partners.columns)
 
 
 def kpis(partners: DataFrame, refs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def set_dedupe_links(spark, sf):
 @query("set_distinct_urls", "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site FROM pages UNION SELECT DISTINCT 'https://p' || s_suppkey || '.example.com' FROM supplier WHERE s_suppkey % 5 = 0")
 def set_distinct_urls(spark, sf):
     a = pages(spark, sf).select(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("site"))
-    b = V.partners(spark, sf, with_clients=False).filter(F.col("website").isNotNull()).select(F.col("website").alias("site"))
+    b = V.partners(spark, sf).filter(F.col("website").isNotNull()).select(F.col("website").alias("site"))
     return a.unionByName(b).distinct()
 
 
@@ -144,7 +144,7 @@ def _slug(c):
 
 def directory_pages(spark, sf):
     """One directory entry per partner; every third grade is told by its class only."""
-    p = V.partners(spark, sf, with_clients=False)
+    p = V.partners(spark, sf)
     slug = F.concat(L("p-"), _slug("name"), L("-"), F.col("partner_id").cast("string"))
     badge = F.when(F.col("grade") == "Unknown", L("")).when(F.col("phone").isNotNull(), F.concat(L('<i class="bg_'), F.lower("grade"), L('"></i>'))).otherwise(
         F.concat(L('<span class="badge x">'), "grade", L("</span>")))
@@ -164,9 +164,9 @@ def page_countries(spark, sf):
     return G.countries(directory_pages(spark, sf))
 
 
-def profile_pages(spark, sf):
-    """A profile per partner: contacts, industries and its first clients as references."""
-    p = V.partners(spark, sf)
+def profile_pages(spark, sf, refs=True):
+    """A profile per partner: contacts and industries, and its clients as references, a page for each thousand."""
+    p = V.partner_pages(spark, sf) if refs else V.partners(spark, sf).withColumn("clients", F.array().cast("array<string>"))
     head = F.concat(L('<div class="o_portal_header">'), F.coalesce("email", L("")), L("<br>"), F.coalesce(F.concat(L("tel "), F.col("phone")), L("")), L("<br>"),
                     F.coalesce(F.concat(L('<a href="'), F.col("website"), L('">site</a>')), L("")), L("</div>"))
     refs = F.array_join(F.transform("clients", lambda c: F.concat(L("<h5>"), c, L("</h5><p>Trade / "), F.upper(F.substring(c, 1, 1)), L("</p><p>Served since the start of the directory, "), c, L("</p>"))), "")
@@ -180,7 +180,7 @@ def profile_pages(spark, sf):
 @query("page_contact", """SELECT partner_id AS page_id, email, CASE WHEN phone IS NOT NULL AND length(phone) >= 7 THEN phone END AS phone, website, employees, country AS location,
     CASE WHEN grade IN ('Gold', 'Silver') THEN grade || ' Partner' END AS certification FROM partners""")
 def page_contact(spark, sf):
-    return G.contacts(profile_pages(spark, sf))
+    return G.contacts(profile_pages(spark, sf, refs=False))
 
 
 @query("page_refs", """SELECT partner_id AS page_id, client AS client_name, 'Trade / ' || upper(client[1]) AS client_industry, 'Served since the start of the directory, ' || client AS description
@@ -191,4 +191,4 @@ def page_refs(spark, sf):
 
 @query("page_industries", "SELECT partner_id AS page_id, array_to_string(industries, ',') AS industries FROM partners")
 def page_industries(spark, sf):
-    return G.industries(profile_pages(spark, sf)).select("page_id", F.array_join("industries", ",").alias("industries"))
+    return G.industries(profile_pages(spark, sf, refs=False)).select("page_id", F.array_join("industries", ",").alias("industries"))

@@ -11,7 +11,7 @@ from stallwise.plans.registry import query
 from stallwise.plans.sqlviews import rnd
 from stallwise.sources import writers as O
 
-FIT = ["economy", "promo", "nation_1", "serves", "supplier", "medium"]
+FIT = ["economy", "#000000007", "nation_1", "serves", "supplier", "medium"]
 READY = ["economy", "standard", "large"]
 _TEXT = "lower(name || ' ' || description || ' ' || array_to_string(industries, ' ') || ' ' || array_to_string(clients, ' '))"
 FITSQL = {"fits": f"""SELECT *, least(100, keyword_match + industry_match + certification_points + employee_count + contact_quality)::INT AS fit FROM (SELECT *,
@@ -24,7 +24,7 @@ FITSQL = {"fits": f"""SELECT *, least(100, keyword_match + industry_match + cert
 
 
 def fit(spark, sf):
-    return P.score_fit(V.partners(spark, sf), FIT, READY)
+    return P.score_fit(V.partners(spark, sf), FIT, READY, V.client_refs(spark, sf))
 
 
 @query("score_partner_fit", f"SELECT partner_id, fit, {', '.join(P.PARTS)} FROM fits", FITSQL)
@@ -39,7 +39,7 @@ def flt_score_min(spark, sf):
 
 @query("flt_cert_min", "SELECT partner_id FROM partners WHERE grade IN ('Gold', 'Silver')")
 def flt_cert_min(spark, sf):
-    return V.partners(spark, sf, with_clients=False).filter(P.level() >= 2).select("partner_id")
+    return V.partners(spark, sf).filter(P.level() >= 2).select("partner_id")
 
 
 @query("top_partners", "SELECT partner_id, fit FROM fits WHERE fit >= 50 ORDER BY fit DESC, partner_id LIMIT 50", FITSQL)
@@ -65,24 +65,24 @@ def agg_score_bands(spark, sf):
 
 @query("agg_cert_breakdown", f"SELECT grade AS certification, count(*) AS n, {rnd('count(*) * 1e2 / (SELECT count(*) FROM partners)', 1)} AS pct FROM partners GROUP BY 1")
 def agg_cert_breakdown(spark, sf):
-    return P.share_by(V.partners(spark, sf, with_clients=False), F.col("grade"), "certification")
+    return P.share_by(V.partners(spark, sf), F.col("grade"), "certification")
 
 
 @query("agg_industry_top10", "SELECT industry, count(*) AS n FROM (SELECT unnest(industries) AS industry FROM partners) GROUP BY 1 ORDER BY n DESC, industry LIMIT 10")
 def agg_industry_top10(spark, sf):
-    rows = V.partners(spark, sf, with_clients=False).select(F.explode("industries").alias("industry"))
+    rows = V.partners(spark, sf).select(F.explode("industries").alias("industry"))
     return K.top(rows.groupBy("industry").agg(F.count(F.lit(1)).alias("n")), [K.desc("n"), F.col("industry")], 10)
 
 
 @query("agg_industry_explode", "SELECT industry, count(*) AS n FROM (SELECT unnest(industries) AS industry FROM partners) GROUP BY 1 ORDER BY n DESC, industry LIMIT 25")
 def agg_industry_explode(spark, sf):
-    rows = V.partners(spark, sf, with_clients=False).select(F.array_join("industries", " ; ").alias("industries"))
+    rows = V.partners(spark, sf).select(F.array_join("industries", " ; ").alias("industries"))
     return P.industries(rows, "industries")
 
 
-@query("flt_partner_keyword", f"SELECT partner_id FROM partners WHERE contains({_TEXT}, 'promo') OR contains({_TEXT}, 'nation_2')")
+@query("flt_partner_keyword", f"SELECT partner_id FROM partners WHERE contains({_TEXT}, '#00000000') OR contains({_TEXT}, 'nation_2')")
 def flt_partner_keyword(spark, sf):
-    return P.keyword_filter(V.partners(spark, sf), ["promo", "nation_2"]).select("partner_id")
+    return P.keyword_filter(V.partners(spark, sf), ["#00000000", "nation_2"], V.client_refs(spark, sf)).select("partner_id")
 
 
 @query("flt_industry_contains", "SELECT partner_id, client_name FROM client_refs WHERE contains(lower(client_industry), 'auto') ORDER BY client_name, partner_id LIMIT 200")
@@ -97,22 +97,22 @@ _REGION_TEXT = "lower(name || ' ' || country || ' ' || description)"
     OR ends_with(lower(name), '9') OR contains(name || ' ' || country || ' ' || description, ' NATION_5')""")
 def flt_region_company(spark, sf):
     hit = P.in_region("name", ["country", "description"], ["nation_7", "nation_12"], ["9"], ["serves nation_3"], ["NATION_5"])
-    return V.partners(spark, sf, with_clients=False).filter(hit).select("partner_id")
+    return V.partners(spark, sf).filter(hit).select("partner_id")
 
 
 @query("agg_partner_kpis", "SELECT count(*) AS partners, count(DISTINCT country) AS countries, count_if(grade = 'Gold') AS gold, (SELECT count(*) FROM client_refs) AS client_refs FROM partners")
 def agg_partner_kpis(spark, sf):
-    return P.kpis(V.partners(spark, sf, with_clients=False), V.client_refs(spark, sf))
+    return P.kpis(V.partners(spark, sf), V.client_refs(spark, sf))
 
 
 @query("agg_partner_country", "SELECT country, count(*) AS partners FROM partners GROUP BY 1 ORDER BY partners DESC, country LIMIT 20")
 def agg_partner_country(spark, sf):
-    return P.by_country(V.partners(spark, sf, with_clients=False))
+    return P.by_country(V.partners(spark, sf))
 
 
 @query("agg_partner_grade", "SELECT d.pos, d.grade, count(p.partner_id) AS partners FROM (VALUES (0, 'Gold'), (1, 'Silver'), (2, 'Ready'), (3, 'Unknown')) d(pos, grade) LEFT JOIN partners p USING (grade) GROUP BY 1, 2")
 def agg_partner_grade(spark, sf):
-    return P.by_grade(V.partners(spark, sf, with_clients=False))
+    return P.by_grade(V.partners(spark, sf))
 
 
 @query("set_dedupe_refs", "SELECT l_suppkey AS partner_id, lower(c_name) AS client, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")

@@ -62,7 +62,7 @@ _PCOLS = "partner_id, name, grade, country, employees"
 @query("src_csv", f"SELECT {_PCOLS.replace('partner_id', 'partner_id::VARCHAR AS partner_id')}, array_to_string(industries, '; ') AS industries FROM partners")
 def src_csv(spark, sf):
     path = fresh_path(spark, "partners")
-    rows = V.partners(spark, sf, with_clients=False).withColumn("industries", F.array_join("industries", "; "))
+    rows = V.partners(spark, sf).withColumn("industries", F.array_join("industries", "; "))
     fields = schemas.fields(schemas.PARTNER)
     O.append_csv(rows.select(*[(F.col(c) if c in rows.columns else F.lit("")).cast("string").alias(c) for c in fields]), path, fields)
     return R.read_csv(spark, path, schemas.PARTNER).select(*_PCOLS.split(", "), "industries")
@@ -108,10 +108,12 @@ def src_nested_listing(spark, sf):
 
 
 @query("src_partner_json", """SELECT name AS partner_name, country AS location, email, employees, array_to_string(industries, ',') AS industries,
-    array_to_string(clients, ',') AS clients FROM partners""")
+    coalesce(names, '') AS clients FROM partners p LEFT JOIN (SELECT partner_id, string_agg(client_name, ',' ORDER BY client_name) AS names
+    FROM client_refs GROUP BY partner_id, client_id // 1000) r USING (partner_id)""")
 def src_partner_json(spark, sf):
+    """A profile for each partner and page of up to a thousand clients."""
     path = fresh_path(spark, "profiles")
-    V.partners(spark, sf).select(F.col("name").alias("partner_name"), F.col("country").alias("location"), "website", "email", "phone",
+    V.partner_pages(spark, sf).select(F.col("name").alias("partner_name"), F.col("country").alias("location"), "website", "email", "phone",
                                  F.col("grade").alias("certification"), "employees", "industries", "clients", "description").write.json(path)
     return R.read_partner_profiles(spark, path, multi_line=False).select(
         "partner_name", "location", "email", "employees", F.array_join("industries", ",").alias("industries"), F.array_join("clients", ",").alias("clients"))
@@ -224,8 +226,8 @@ def tbl_upsert_counts(spark, sf):
 
 @query("tbl_incremental_skip", "SELECT partner_id, name FROM partners WHERE grade NOT IN ('Gold', 'Silver')")
 def tbl_incremental_skip(spark, sf):
-    crawled = V.partners(spark, sf, with_clients=False).filter(F.col("grade").isin("Gold", "Silver"))
-    return A.unseen(V.partners(spark, sf, with_clients=False), crawled, "partner_id").select("partner_id", "name")
+    crawled = V.partners(spark, sf).filter(F.col("grade").isin("Gold", "Silver"))
+    return A.unseen(V.partners(spark, sf), crawled, "partner_id").select("partner_id", "name")
 
 
 @query("join_anti_seen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -303,7 +305,8 @@ def snk_refs(spark, sf):
 @query("snk_contact_db", """SELECT partner_id, name, email, phone, website, '[' || array_to_string(list_transform(industries, lambda x: '"' || x || '"'), ',') || ']' AS industries,
     '[' || array_to_string(list_transform(clients[1:3], lambda x: '"' || x || '"'), ',') || ']' AS clients FROM partners""")
 def snk_contact_db(spark, sf):
-    return O.contact_rows(V.partners(spark, sf))
+    known = V.partners(spark, sf).join(P.first_clients(V.client_refs(spark, sf)), F.col("partner_id") == F.col("_partner"), "left")
+    return O.contact_rows(known.withColumn("clients", F.coalesce("clients", F.array().cast("array<string>"))))
 
 
 @query("snk_leaderboard_json", "SELECT section, count(*) AS n FROM (SELECT 'publishers' AS section FROM (SELECT DISTINCT author FROM listings WHERE price_cents > 0 AND total_purchases > 0 LIMIT 25) UNION ALL "

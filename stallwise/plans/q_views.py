@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stallwise.operators import partners as P
 from stallwise.plans import views as V
 from stallwise.plans.registry import query
 
@@ -22,11 +23,12 @@ def view_snapshots(spark, sf):
                                          "review_count", "total_purchases", "last_month_purchases")
 
 
-@query("view_partners", """SELECT partner_id, name, country, grade, array_to_string(industries, ',') AS industries,
-    array_to_string(clients, ',') AS clients, employees, email, phone, website FROM partners""")
+@query("view_partners", """SELECT partner_id, name, country, grade, array_to_string(industries, ',') AS industries, len(clients) AS n_clients,
+    array_to_string(clients[1:3], ',') AS clients, employees, email, phone, website FROM partners""")
 def view_partners(spark, sf):
-    return V.partners(spark, sf).select("partner_id", "name", "country", "grade", F.array_join("industries", ",").alias("industries"),
-                                        F.array_join("clients", ",").alias("clients"), "employees", "email", "phone", "website")
+    known = V.partners(spark, sf).join(P.first_clients(V.client_refs(spark, sf)), F.col("partner_id") == F.col("_partner"), "left")
+    return known.select("partner_id", "name", "country", "grade", F.array_join("industries", ",").alias("industries"), F.coalesce("n_clients", F.lit(0).cast("long")).alias("n_clients"),
+                        F.coalesce(F.array_join("clients", ","), F.lit("")).alias("clients"), "employees", "email", "phone", "website")
 
 
 @query("view_checkins", "SELECT * FROM checkins")

@@ -45,10 +45,8 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "partners": """SELECT s_suppkey AS partner_id, s_name AS name, n_name AS country,
         CASE WHEN s_acctbal > 7500 THEN 'Gold' WHEN s_acctbal > 4000 THEN 'Silver' WHEN s_acctbal > 0 THEN 'Ready' ELSE 'Unknown' END AS grade,
-        coalesce((SELECT list_sort(list(DISTINCT p_type)) FROM part WHERE p_partkey // 3 = s_suppkey), []::VARCHAR[]) AS industries,
-        coalesce((SELECT list_sort(list(client_name)) FROM (SELECT partner_id, client_name,
-            row_number() OVER (PARTITION BY partner_id ORDER BY client_name) AS rn FROM client_refs) r
-            WHERE rn <= 3 AND r.partner_id = s_suppkey), []::VARCHAR[]) AS clients,
+        coalesce((SELECT list_sort(list(DISTINCT p_type)) FROM part WHERE p_partkey % (SELECT count(*) FROM supplier) = s_suppkey), []::VARCHAR[]) AS industries,
+        coalesce((SELECT list_sort(list(client_name)) FROM client_refs r WHERE r.partner_id = s_suppkey), []::VARCHAR[]) AS clients,
         (s_suppkey % 50) || '-' || (s_suppkey % 50 + 10 * (s_suppkey % 40)) AS employees,
         CASE WHEN s_suppkey % 2 = 0 THEN 'p' || s_suppkey || '@example.com' END AS email,
         CASE WHEN s_suppkey % 3 = 0 THEN '+1 555 ' || s_suppkey END AS phone,

@@ -162,24 +162,20 @@ def client_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_planned
-def partners(spark: SparkSession, sf: str, with_clients: bool = True) -> DataFrame:
+def partners(spark: SparkSession, sf: str) -> DataFrame:
+    """Partners without their clients, which stay edges (``client_refs``); every part belongs to one partner's industries."""
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
-    part = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 3).alias("s_suppkey"), "p_type")
-    inds = part.groupBy("s_suppkey").agg(F.array_sort(F.collect_set("p_type")).alias("industries"))
+    size = s.agg(F.count(F.lit(1)).alias("n")).scalar()
+    part = table(spark, sf, "part").select(F.pmod("p_partkey", size).alias("s_suppkey"), "p_type")
+    inds = part.groupBy("s_suppkey").agg(F.array_sort(F.collect_set("p_type")).alias("industries"))  # a handful of types
     key, bal = F.col("s_suppkey"), F.col("s_acctbal")
     lo = key % 50
     out = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(inds, "s_suppkey", "left")
-    if with_clients:
-        first = W.partitionBy("partner_id").orderBy("client_name")
-        refs = (client_refs(spark, sf).withColumn("_rn", F.row_number().over(first)).filter("_rn <= 3")
-                .groupBy(F.col("partner_id").alias("s_suppkey")).agg(F.array_sort(F.collect_list("client_name")).alias("_clients")))
-        out = out.join(refs, "s_suppkey", "left")
     none = F.array().cast("array<string>")
-    clients = F.coalesce("_clients", none) if with_clients else none
     return out.select(
         key.alias("partner_id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"),
         F.when(bal > 7500, "Gold").when(bal > 4000, "Silver").when(bal > 0, "Ready").otherwise("Unknown").alias("grade"),
-        F.coalesce("industries", none).alias("industries"), clients.alias("clients"),
+        F.coalesce("industries", none).alias("industries"),
         F.concat(lo.cast("string"), F.lit("-"), (lo + 10 * (key % 40)).cast("string")).alias("employees"),
         F.when(key % 2 == 0, F.concat(F.lit("p"), key.cast("string"), F.lit("@example.com"))).alias("email"),
         F.when(key % 3 == 0, F.concat(F.lit("+1 555 "), key.cast("string"))).alias("phone"),
@@ -188,6 +184,14 @@ def partners(spark: SparkSession, sf: str, with_clients: bool = True) -> DataFra
         (bal / 100).alias("balance"))
 
 
+@_planned
+def partner_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Partners with their clients in pages of at most a thousand, by the range of the client's number; one page without clients for those without any."""
+    pages = client_refs(spark, sf).groupBy(F.col("partner_id").alias("_partner"), F.floor(F.col("client_id") / 1000).alias("page")).agg(F.array_sort(F.collect_list("client_name")).alias("clients"))
+    met = partners(spark, sf).join(pages, F.col("partner_id") == F.col("_partner"), "left").drop("_partner")
+    return met.withColumn("clients", F.coalesce("clients", F.array().cast("array<string>")))
+
+
 @_planned
 def checkins(spark: SparkSession, sf: str) -> DataFrame:
     """One row per listing and check-in week, from its four runs."""

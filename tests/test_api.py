@@ -45,7 +45,7 @@ def test_validate_is_one_row_per_idea(snaps):
 
 
 def test_partner_fit_ranks(spark, sf):
-    rows = api.partner_fit(V.partners(spark, sf), 10, 3).orderBy("rank").collect()
+    rows = api.partner_fit(V.partners(spark, sf), 10, 3, V.client_refs(spark, sf)).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2, 3] and rows[0]["fit"] >= rows[2]["fit"]
 
 
