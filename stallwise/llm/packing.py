@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm.chunks import byte_bpe
 from stallwise.llm.common import text_of, written
+from stallwise.llm.pieces import _portions
 
 #: Pieces of a bucket, within which pieces of one length are numbered in one task.
 BUCKET = 50_000
@@ -103,8 +104,7 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_bpe(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in _portions(batch, 1):
                 which, start, length, total, ids = [], [], [], [], []
                 for i, data in enumerate(table.many(some.column(1).to_pylist())):
                     data += last

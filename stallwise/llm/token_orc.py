@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stallwise.llm.chunks import byte_bpe
 from stallwise.llm.common import text_of
+from stallwise.llm.pieces import _portions
 
 
 def write(docs: DataFrame, target: str, path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text", stripe_mb: int = 64, stride: int = 2_000) -> None:
@@ -35,8 +36,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int | None = 2, key:
         table, part, row = byte_bpe(path), TaskContext.get().partitionId(), 0
         end = np.array(last, "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in _portions(batch, 1):
                 data = [d + end for d in table.many(some.column(1).to_pylist())]
                 n = np.fromiter((len(d) // 4 for d in data), np.int32, len(data))
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
