@@ -25,6 +25,8 @@ from stallwise.llm.pieces import _portions
 #: Bytes of a window, windows read side by side, and the input that stands for "no byte".
 WINDOW, SIDE_BY_SIDE, NONE = 128, 1024, 256
 UNKNOWN = "und"
+#: Parts in which the ids of a language are ranked for the sample.
+PARTS = 32
 Weights = dict[str, np.ndarray]
 
 
@@ -210,8 +212,12 @@ def sample(docs: DataFrame, max_rows: int = 4000, per_lang: int = 1000, per_text
     """
     named = (docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
              .groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("lang2")).filter("lang = lang2"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    picked = (named.select("doc_id", "lang", rank.alias("nth")).filter(F.col("nth") <= per_lang)
+    # A language is ranked in parts first, so that the last rank meets at most PARTS times ``per_lang`` ids of it.
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(PARTS))
+    few = named.select("doc_id", "lang", part.alias("part")).withColumn("inner", rank("lang", "part")).filter(F.col("inner") <= per_lang)
+    picked = (few.select("doc_id", "lang", rank("lang").alias("nth")).filter(F.col("nth") <= per_lang)
               .orderBy("nth", "lang").limit(max_rows).select("doc_id", "lang"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
