@@ -54,19 +54,24 @@ def standardised(weighted: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Logit:
-    """``p = 1 / (1 + exp(-(intercept + sum(coefficients * (columns - centres)))))``."""
+    """``p = 1 / (1 + exp(-(base + sum(coefficients * (columns - centres)))))``."""
 
     columns: tuple[str, ...]
     centres: tuple[float, ...]
-    intercept: float
+    base: float
     coefficients: tuple[float, ...]
 
+    @property
+    def intercept(self) -> float:
+        """The log-odds where all columns are zero."""
+        return self.base - sum(b * m for b, m in zip(self.coefficients, self.centres))
+
     def terms(self) -> list[Column]:
         return [F.lit(1.0), *[F.col(c) - F.lit(m) for c, m in zip(self.columns, self.centres)]]
 
     def log_odds(self) -> Column:
         one, *terms = self.terms()
-        return sum((F.lit(float(b)) * x for b, x in zip(self.coefficients, terms)), F.lit(float(self.intercept)))
+        return sum((F.lit(float(b)) * x for b, x in zip(self.coefficients, terms)), F.lit(float(self.base)))
 
     def p(self) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds()))
@@ -98,7 +103,7 @@ def fit(weighted: DataFrame, columns: Sequence[str], steps: int = 40, tolerance:
             break
         move = np.linalg.solve(h, g)
         for half in range(30):
-            at = np.array([model.intercept, *model.coefficients]) - move / 2 ** half
+            at = np.array([model.base, *model.coefficients]) - move / 2 ** half
             after = Logit(model.columns, centres, float(at[0]), tuple(map(float, at[1:])))
             new = _state(weighted, after)
             if new[0] <= loss + 1e-12 * abs(loss):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stallwise.functions import columns as C, match as M, tokens as T
+from stallwise.functions import columns as C, match as M, rareindex as R, tokens as T
 from stallwise.functions.match import niche
 from stallwise.operators import market as K, niches as N
 from stallwise.plans import views as V
@@ -125,6 +125,15 @@ def join_keyword_table_any(spark, sf):
     return M.fan_out_table(rows, N.BOTH, dim).select("label", "app_key")
 
 
+@query("join_words_documents", """SELECT w.word, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM documents d JOIN (
+    SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) w ON length(w.word) >= 6 AND contains(d.text, w.word) GROUP BY 1""")
+def join_words_documents(spark, sf):
+    """The longer words of one text table inside the whole texts of another, through the index of rare pieces."""
+    words = V.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).filter(F.length("word") >= 6).distinct()
+    pairs = R.found_words(V.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", words, "word")
+    return pairs.groupBy("word").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query("join_keyword_zero_keep", f"SELECT n.label, n.pos, {ZEROS} FROM niche_list n LEFT JOIN matched m USING (label) GROUP BY 1, 2", DIM)
 def join_keyword_zero_keep(spark, sf):
     return N.counts_keep_zero(V.listings(spark, sf), NICHES)

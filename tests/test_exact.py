@@ -48,3 +48,23 @@ def test_no_window_spans_a_key(skewed):
     _, df = skewed
     plan = exact.ranked(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Python" not in plan
+
+
+def test_close_values_are_spread_over_many_tasks(spark):
+    """A million distinct doubles between 0.5 and 0.51: no bucket holds more than a small share of them."""
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(0.5) + F.pmod(F.col("id") * 7919, F.lit(n)) / F.lit(n * 100.0)).alias("v"))
+    splits = df.agg(F.array_distinct(F.percentile_approx("v", exact._steps(exact.SPLITS), F.lit(exact.ACCURACY))).alias("s")).first()["s"]
+    assert len(splits) > exact.SPLITS * 0.9
+    values = 0.5 + np.arange(n) / (n * 100.0)
+    assert np.bincount(np.searchsorted(np.array(splits), values)).max() < n / 50
+    got = exact.quantiles(df, [], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).first()
+    for name, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_positions_outside_and_names_of_keys(spark):
+    df = spark.createDataFrame([(1, 2, 5.0), (1, 2, None), (1, 3, 7.0)], "_x int, i int, v double")
+    got = {r["i"]: (r["first"], r["none"]) for r in exact.positions(df, ["i"], "v", {"first": F.lit(0), "none": F.col("n")}).collect()}
+    assert got == {2: (5.0, None), 3: (7.0, None)}
+    assert exact.quantiles(df.limit(0), ["i"], "v", {"m": 0.5}).count() == 0

@@ -60,3 +60,29 @@ def test_upper_tail(spark):
     z = [0.0, 1.959964, -1.0, 3.0]
     got = [r[0] for r in spark.createDataFrame([(float(v),) for v in z], "z double").select(S.upper_tail(F.col("z"))).collect()]
     assert got == pytest.approx([0.5, 0.025, 0.841344746, 0.001349898], abs=1e-6)
+
+
+def test_folds_are_those_of_an_unshuffled_stratified_split(spark):
+    """Round robin over the sorted labels gives each fold's share of a class; a class fills the folds in order."""
+    rng = np.random.default_rng(2)
+    y = rng.choice([0, 1, 2], 83, p=[0.6, 0.3, 0.1]).tolist()
+    rows = spark.createDataFrame([(f"k{i:03d}", v) for i, v in enumerate(y)], "app_key string, label int").repartition(4)
+    seen = list(dict.fromkeys(y))
+    coded = sorted(seen.index(v) for v in y)
+    want = {}
+    for c, v in enumerate(seen):
+        sizes = [coded[i::5].count(c) for i in range(5)]
+        folds = [i for i, s in enumerate(sizes) for _ in range(s)]
+        want |= {f"k{i:03d}": f for i, f in zip([i for i, x in enumerate(y) if x == v], folds)}
+    assert {r["app_key"]: r["fold"] for r in L.stratified_folds(rows).collect()} == want
+
+
+def test_the_gradient_is_zero_at_the_fit(rows):
+    w = L.standardised(L.counted(rows[0], ["a", "b"]), ["a", "b"])
+    assert max(map(abs, L.gradient(w, L.fit(w, ["a", "b"])))) < 1e-8
+
+
+def test_fit_without_one_class_and_with_constant_columns(spark):
+    flat = spark.createDataFrame([("a", 1, 5, 0), ("b", 1, 5, 0)], "app_key string, a int, viability int, total_purchases int")
+    model = L.fit(L.standardised(L.counted(flat, ["a"]), ["a"]), ["a"])
+    assert model.coefficients == (0.0,) and model.intercept < -1

@@ -68,3 +68,21 @@ def test_pulls_in_one_batch_or_many_give_the_same(spark, tmp_path):
         J.posts_upsert(many)(spark.createDataFrame([row], ddl), number)
     got = [sorted((r["id"], r["community"], r["score"]) for r in J.current_posts(spark, path).collect()) for path in (one, many)]
     assert got[0] == got[1] == [(1, "a", 7), (2, "c", 2)]
+
+
+def test_live_sessions_join_and_retract(spark, tmp_path):
+    """A late event joins two sessions that came out provisionally; closed ones are final, the last stays open."""
+    from pyspark.sql import functions as F
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ddl = "u int, ts string"
+    batches = [[(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:40:00"), (2, "2024-01-01 00:10:00")], [(1, "2024-01-01 00:50:00")], [(1, "2024-01-01 09:00:00"), (3, "2024-01-01 09:30:00")]]
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("u int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    J.run_available(J.live_sessions(stream, "u", "ts", 3600, "2 hours"), sink=J.keep_updates(out), mode="update")
+    got = sorted((r["u"], str(r["start"])[11:16], str(r["last"])[11:16], r["n"]) for r in J.latest_sessions(spark, out, "u").collect())
+    assert got == [(1, "00:00", "01:40", 3), (1, "09:00", "09:00", 1), (2, "00:10", "00:10", 1), (3, "09:30", "09:30", 1)]
+
+
+def test_spans_merge_in_any_order():
+    assert J.merged_sessions([(10, 12, 2), (0, 1, 1), (5, 6, 1), (3, 3, 1)], 2) == [(0, 6, 3), (10, 12, 2)]
