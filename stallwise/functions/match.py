@@ -95,16 +95,20 @@ MODES: dict[str, Callable[[Sequence[str], Sequence[str]], Column]] = {
 
 
 def matched_labels(dim: Sequence[Niche], fields: Sequence[str], mode: str = "contains") -> Column:
-    """Array of the labels a row matches."""
-    if sum(len(n.keywords) for n in dim) > LITERAL_LIMIT:
-        raise ValueError(f"more than {LITERAL_LIMIT} keywords: use fan_out_table")
+    """Array of the labels a row matches; very long lists are still right, but run outside of generated code."""
     test = MODES[mode]
     return F.array_compact(F.array(*[F.when(test(fields, n.keywords), F.lit(n.label)) for n in dim]))
 
 
 def fan_out(df: DataFrame, dim: Sequence[Niche], fields: Sequence[str] = ("display_name", "summary"),
             mode: str = "contains", out: str = "label") -> DataFrame:
-    """One row per (row, matching niche); a single scan of ``df``."""
+    """One row per (row, matching niche); a single scan of ``df``.
+
+    Substring lists too long for one expression become a keyword table and an equi-join, with the same rows.
+    """
+    if mode == "contains" and sum(len(n.keywords) for n in dim) > LITERAL_LIMIT:
+        words = df.sparkSession.createDataFrame([(n.label, k) for n in dim for k in n.keywords], "label string, keyword string")
+        return fan_out_table(df, fields, words).withColumnRenamed("label", out)
     return explode_once(df, out, matched_labels(dim, fields, mode))
 
 

@@ -30,10 +30,16 @@ def get_spark(app: str = "stallwise", cores: str | int = "*", **conf: str) -> Sp
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process; ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a temporary one is set.
+    Only where the session names none and runs on one machine (tests, local
+    runs) a temporary one is set; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -42,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not current:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stallwise-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

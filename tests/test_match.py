@@ -75,3 +75,12 @@ def test_fan_out_table_keeps_equal_rows(spark):
     dim = spark.createDataFrame([("colour", "red"), ("stuff", "wood"), ("colour", "chair")], "label string, keyword string")
     got = sorted((r["name"] or "", r["label"]) for r in M.fan_out_table(rows, ["name", "note"], dim).collect())
     assert got == [("", "colour"), ("Red chair", "colour"), ("Red chair", "colour"), ("Red chair", "stuff"), ("Red chair", "stuff")]
+
+
+def test_long_keyword_lists_give_the_same_rows(listing, monkeypatch):
+    df = listing({"display_name": "Big BOLT", "summary": None}, {"display_name": None, "summary": "a bolt and a ring"}, {"display_name": "none", "summary": "x"}, {"display_name": "Big BOLT", "summary": None})
+    dim = [M.niche("b", "bolt", "big"), M.niche("r", "ring"), M.niche("z", "zeppelin")]
+    want = sorted((r["app_key"], r["kind"]) for r in M.fan_out(df, dim, out="kind").collect())
+    monkeypatch.setattr(M, "LITERAL_LIMIT", 2)
+    assert sorted((r["app_key"], r["kind"]) for r in M.fan_out(df, dim, out="kind").collect()) == want and len(want) == 4
+    assert M.fan_out(df, dim, mode="word").count() == 4
