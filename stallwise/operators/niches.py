@@ -260,6 +260,15 @@ def failure_modes() -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("patience"))).otherwise(F.slice(found, 1, 3))
 
 
+def angle_figure() -> Column:
+    """The whole percentage or the price in cents that an angle's text names; NULL for the last one."""
+    percent = lambda c: F.floor(F.col(c) * 100)
+    return (F.when(F.col("pct_stale") > 0.3, percent("pct_stale")).when(F.col("pct_low_rating") > 0.4, percent("pct_low_rating"))
+            .when(F.col("pct_unrated") > 0.5, percent("pct_unrated"))
+            .when((F.col("top_author_share") > 0.5) & (F.col("author_count") > 1), percent("top_author_share"))
+            .when(F.col("median_price_cents") > 30000, F.floor("median_price_cents")))
+
+
 def angle() -> Column:
     return (F.when(F.col("pct_stale") > 0.3, "maintained").when(F.col("pct_low_rating") > 0.4, "quality")
             .when(F.col("pct_unrated") > 0.5, "under-marketed")

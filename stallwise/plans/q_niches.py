@@ -395,3 +395,10 @@ def label_failure_modes(spark, sf):
     WHEN top_author_share > 0.5 AND author_count > 1 THEN 'sub-segment' WHEN median_price_cents > 30000 THEN 'mid-market price' ELSE 'read reviews' END AS angle FROM rec""", REC)
 def label_angle(spark, sf):
     return _stats(spark, sf).select("label", N.angle().alias("angle"))
+
+
+@query("label_angle_figures", """SELECT label, (CASE WHEN pct_stale > 0.3 THEN floor(pct_stale * 100) WHEN pct_low_rating > 0.4 THEN floor(pct_low_rating * 100)
+    WHEN pct_unrated > 0.5 THEN floor(pct_unrated * 100) WHEN top_author_share > 0.5 AND author_count > 1 THEN floor(top_author_share * 100)
+    WHEN median_price_cents > 30000 THEN floor(median_price_cents) END)::BIGINT AS figure FROM rec""", REC)
+def label_angle_figures(spark, sf):
+    return _stats(spark, sf).select("label", N.angle_figure().cast("long").alias("figure"))
