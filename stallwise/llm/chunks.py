@@ -124,19 +124,50 @@ class ByteBpe(ChunkTable):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stops = dict(zip(".,", self._library([".", ","]), strict=True))
+        self.line_break = self._library(["\n"])[0]
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def segment(self, fields: list[str], head: bool) -> list[bytes]:
-        if head:
-            return self._library(fields)
-        # The pattern also starts a token between a letter and a full stop or comma, so these share the word before them.
-        cut = [len(f) > 1 and f[-1] in ".," and f[-2].isalpha() for f in fields]
-        words = list({f[:-1] if c else f for f, c in zip(fields, cut, strict=True)})
-        new = [w for w in words if self.rest.get(w) is None]
-        self.rest.update(zip(new, self._library([" " + w for w in new]), strict=True))
-        return [self.rest[f[:-1]] + self.stops[f[-1]] if c else self.rest[f] for f, c in zip(fields, cut, strict=True)]
+        """A single line break between two other characters is a token of its own, and what follows begins like a text."""
+        made = self._words([f for f in fields if "\n" not in f], head)
+        lines = {f: f.split("\n") for f in fields if "\n" in f}
+        clear = {f: x for f, x in lines.items() if all(part and not part[0].isspace() and not part[-1].isspace() for part in x)}
+        begins = self._words(list({x[0] for x in clear.values()}), head)
+        after = self._words(list({part for x in clear.values() for part in x[1:]}), True)
+        made.update((f, self.line_break.join([begins[x[0]], *[after[part] for part in x[1:]]])) for f, x in clear.items())
+        odd = [f for f in lines if f not in clear]
+        made.update(zip(odd, self._library(odd if head else [" " + f for f in odd]), strict=True))
+        return [made[f] for f in fields]
+
+    def _words(self, fields: list[str], head: bool) -> dict[str, bytes]:
+        """Ids of fields without line breaks, at the beginning of a text or line or behind a space.
+
+        The pattern also starts a token between a letter and a full stop or comma, so these share the word before them.
+        """
+        table = self.heads if head else self.rest
+        cut = {f: f[:-1] for f in fields if len(f) > 1 and f[-1] in ".," and f[-2].isalpha()}
+        words = {cut.get(f, f) for f in fields}
+        ids = {w: table[w] for w in words if table.get(w) is not None}
+        new = [w for w in words if w not in ids]
+        found = dict(zip(new, self._by_lines(new, "" if head else " "), strict=True))
+        table.update(found)
+        ids.update(found)
+        return {f: ids[cut[f]] + self.stops[f[-1]] if f in cut else ids[f] for f in fields}
+
+    def _by_lines(self, words: list[str], before: str) -> list[bytes]:
+        """The library's ids of many words, a few hundred in one text, a line each: a break between lines is one token."""
+        groups = [words[k: k + 400] for k in range(0, len(words), 400)]
+        texts = ["\n".join([before + w for w in group]) for group in groups]
+        out: list[bytes] = []
+        mark = np.frombuffer(self.line_break, "<u4")[0]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            breaks = (np.flatnonzero(ids == mark) * 4).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *[x + 4 for x in breaks]], [*breaks, len(data)], strict=True)]
+        return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return _packed_each([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
