@@ -14,8 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Fields of a table before it becomes the old one.
-TABLE = 450_000
+#: Fields of a table, and their characters, before it becomes the old one.
+TABLE, TABLE_CHARS = 450_000, 16_000_000
+#: Marks that are cut from the end of a word.
+MARKS = ".,;:!?*#$%&"
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -29,82 +31,77 @@ def _packed_each(lists: list[list[int]]) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if lists else []
 
 
-class _Known(dict):
-    """Ids by field; a field that isn't there is noted and reads as None."""
+class _Known:
+    """Ids by field, None for a field that can't be told apart from its neighbours."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.wanted: set[str] = set()
+        self.ids: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
+        self.chars = 0
 
     def turn(self) -> None:
         """Makes room when the table is full."""
-        if len(self) > TABLE:
-            self.old = dict(self)
-            self.clear()
+        if len(self.ids) > TABLE or self.chars > TABLE_CHARS:
+            self.old, self.ids, self.chars = self.ids, {}, 0
 
-    def missed(self) -> list[str]:
-        """The fields that neither table has; those of the old one are carried over."""
-        again = self.wanted & self.old.keys()
-        self.update((f, self.old[f]) for f in again)
-        new = list(self.wanted - again)
-        self.wanted.clear()
-        return new
+    def add(self, found: dict[str, bytes | None]) -> None:
+        self.chars += sum(map(len, found))
+        self.ids.update(found)
 
-    def __missing__(self, field: str) -> None:
-        self.wanted.add(field)
+    def missing(self, fields: set[str]) -> set[str]:
+        """The fields that neither table has; those of the old one are carried over."""
+        new = fields.difference(self.ids)
+        again = new & self.old.keys()
+        self.add({f: self.old[f] for f in again})
+        return new - again
 
 
 class ChunkTable:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    A text is cut at single spaces.  A field for which ``split_here`` is false
-    could share a token with its neighbours: it stays None in the table, and a
-    text that has it is given to the library whole.
+    A text is cut at single spaces.  A field that is empty or begins or ends
+    with white space could share a token with its neighbours: it stays None in
+    the table, and a text that has it is given to the library whole.
     """
 
+    #: A field that ends so is not cut off either.
+    joins: str | None = None
+
     def __init__(self) -> None:
         self.heads, self.rest = _Known(), _Known()
 
     def whole(self, text: str) -> bytes:
         raise NotImplementedError
 
-    def segment(self, fields: list[str], head: bool) -> list[bytes]:
+    def segment(self, fields: list[str], head: bool) -> dict[str, bytes]:
         raise NotImplementedError
 
-    def split_here(self, field: str) -> bool:
-        raise NotImplementedError
-
-    def _learn(self, head: bool) -> None:
-        """Segments the fields that were missed, in one call."""
+    def _learn(self, fields: set[str], head: bool) -> None:
+        """Segments the fields that are new, in one call."""
         table = self.heads if head else self.rest
-        fields = table.missed()
-        safe = [f for f in fields if self.split_here(f)]
-        table.update(dict.fromkeys(f for f in fields if not self.split_here(f)))
-        table.update(zip(safe, self.segment(safe, head), strict=True))
+        new = table.missing(fields)
+        safe = [f for f in new if f and f.strip() == f]
+        if self.joins is not None:
+            safe = [f for f in safe if not f.endswith(self.joins)]
+        made: dict[str, bytes | None] = dict.fromkeys(new)
+        made.update(self.segment(safe, head))
+        table.add(made)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the texts' new fields are segmented together."""
         self.heads.turn()
         self.rest.turn()
         split = [t.split(" ") for t in texts]
-        found = []
-        for fields in split:
-            self.heads[fields[0]]
-            found.append(list(map(self.rest.__getitem__, fields[1:])))
-        self._learn(True)
-        self._learn(False)
-        return [self._joined(*x) for x in zip(texts, split, found, strict=True)]
-
-    def _joined(self, text: str, fields: list[str], parts: list[bytes | None]) -> bytes:
-        try:
-            return self.heads[fields[0]] + b"".join(parts)
-        except TypeError:
-            pass
-        try:
-            return self.heads[fields[0]] + b"".join([self.rest[f] if p is None else p for p, f in zip(parts, fields[1:], strict=True)])
-        except TypeError:
-            return self.whole(text)
+        first = [fields.pop(0) for fields in split]
+        self._learn(set(first), True)
+        self._learn(set().union(*split), False)
+        heads, get, out = self.heads.ids, self.rest.ids.__getitem__, []
+        for text, head, fields in zip(texts, first, split, strict=True):
+            try:
+                out.append(heads[head] + b"".join(map(get, fields)))
+            except TypeError:
+                out.append(self.whole(text))
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.many([text])[0]
@@ -123,38 +120,55 @@ class ByteBpe(ChunkTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stops = dict(zip(".,", self._library([".", ","]), strict=True))
+        self.tails: dict[str, bytes] = {}
         self.line_break = self._library(["\n"])[0]
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def segment(self, fields: list[str], head: bool) -> list[bytes]:
+    def segment(self, fields: list[str], head: bool) -> dict[str, bytes]:
         """A single line break between two other characters is a token of its own, and what follows begins like a text."""
-        made = self._words([f for f in fields if "\n" not in f], head)
         lines = {f: f.split("\n") for f in fields if "\n" in f}
-        clear = {f: x for f, x in lines.items() if all(part and not part[0].isspace() and not part[-1].isspace() for part in x)}
+        if not lines:
+            return self._words(fields, head)
+        made = self._words([f for f in fields if f not in lines], head)
+        clear = {f: x for f, x in lines.items() if all(part and part.strip() == part for part in x)}
         begins = self._words(list({x[0] for x in clear.values()}), head)
         after = self._words(list({part for x in clear.values() for part in x[1:]}), True)
         made.update((f, self.line_break.join([begins[x[0]], *[after[part] for part in x[1:]]])) for f, x in clear.items())
         odd = [f for f in lines if f not in clear]
         made.update(zip(odd, self._library(odd if head else [" " + f for f in odd]), strict=True))
-        return [made[f] for f in fields]
+        return made
 
     def _words(self, fields: list[str], head: bool) -> dict[str, bytes]:
         """Ids of fields without line breaks, at the beginning of a text or line or behind a space.
 
-        The pattern also starts a token between a letter and a full stop or comma, so these share the word before them.
+        The pattern also starts a token between a letter and the marks that end a field, so fields share the word before these.
         """
         table = self.heads if head else self.rest
-        cut = {f: f[:-1] for f in fields if len(f) > 1 and f[-1] in ".," and f[-2].isalpha()}
-        words = {cut.get(f, f) for f in fields}
-        ids = {w: table[w] for w in words if table.get(w) is not None}
-        new = [w for w in words if w not in ids]
+        cut: dict[str, str] = {}
+        for f in fields:
+            if f[-1] in MARKS:
+                word = f.rstrip(MARKS)
+                if word and word[-1].isalpha():
+                    cut[f] = word
+        words = {cut.get(f, f) for f in fields} if cut else set(fields)
+        new = list(words.difference(table.ids))
+        new += [w for w in words & table.ids.keys() if table.ids[w] is None]
         found = dict(zip(new, self._by_lines(new, "" if head else " "), strict=True))
-        table.update(found)
-        ids.update(found)
-        return {f: ids[cut[f]] + self.stops[f[-1]] if f in cut else ids[f] for f in fields}
+        table.add(found)
+        known = table.ids
+        plain = {f: known[f] for f in fields if f not in cut} if cut else {f: known[f] for f in fields}
+        plain.update((f, known[w] + self._tail(f[len(w):])) for f, w in cut.items())
+        return plain
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            found = self._library([marks])[0]
+            if len(marks) > 8:
+                return found
+            self.tails[marks] = found
+        return self.tails[marks]
 
     def _by_lines(self, words: list[str], before: str) -> list[bytes]:
         """The library's ids of many words, a few hundred in one text, a line each: a break between lines is one token."""
@@ -172,9 +186,6 @@ class ByteBpe(ChunkTable):
     def _library(self, texts: list[str]) -> list[bytes]:
         return _packed_each([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def split_here(self, field: str) -> bool:
-        return bool(field) and not field[0].isspace() and not field[-1].isspace()
-
 
 class Pieces(ChunkTable):
     """A sentencepiece model none of whose pieces has a marker after another character; no begin or end ids.
@@ -193,15 +204,13 @@ class Pieces(ChunkTable):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.cuttable = not any(self.MARK in p.lstrip(self.MARK) for p in pieces)
+        self.joins = self.MARK if self.cuttable else ""
 
     def whole(self, text: str) -> bytes:
         return _packed(self.model.encode(text, num_threads=1))
 
-    def segment(self, fields: list[str], head: bool) -> list[bytes]:
-        return _packed_each(self.model.encode(fields, num_threads=1)) if fields else []
-
-    def split_here(self, field: str) -> bool:
-        return self.cuttable and bool(field) and not field[-1].isspace() and not field[0].isspace() and not field.endswith(self.MARK)
+    def segment(self, fields: list[str], head: bool) -> dict[str, bytes]:
+        return dict(zip(fields, _packed_each(self.model.encode(fields, num_threads=1)), strict=True)) if fields else {}
 
 
 @cache

@@ -20,7 +20,7 @@ from stallwise.session import fresh_path
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER, MODEL = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=SP)
-HARD = st.lists(st.sampled_from([" ", "  ", "\n", "\t", " ", " ", "\x1c", "▁", "a", "the", "The.", "'s", "'", "12", "é", "日本", "🙂", "<|endoftext|>", "<s>", "</s>", "\x00", "ﬁ", "́"]), max_size=14).map("".join)
+HARD = st.lists(st.sampled_from([" ", "  ", "\n", "\t", " ", " ", "\x1c", "▁", "a", "the", "The.", "!!", "%%%", ".&&&", ",", "'s", "'", "12", "é", "日本", "🙂", "<|endoftext|>", "<s>", "</s>", "\x00", "ﬁ", "́"]), max_size=14).map("".join)
 TEXTS = ["", None, " ", "a", "  a  b ", "x\n\n y", "long " * 30_000, "z" * 5_000, "same", "same"]
 
 
@@ -43,6 +43,21 @@ def test_a_full_table_changes_nothing(monkeypatch):
         assert np.frombuffer(table.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_long_fields_fill_the_table_too(monkeypatch):
+    monkeypatch.setattr(chunks, "TABLE_CHARS", 100)
+    table = chunks.ByteBpe(BPE)
+    for text in ("z" * 200 + " a b", "c " + "y" * 300 + "!!!!!!!!!!!!", "a b c"):
+        assert np.frombuffer(table.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert table.rest.chars < 100
+
+
+def test_checksums_without_ids(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    with_ids, without = packing.cut(docs, BPE), packing.cut(docs, BPE, ids=False)
+    assert "ids" not in without.columns and with_ids.filter(F.crc32("ids") != F.col("ids_crc32")).count() == 0
+    assert sorted(without.collect()) == sorted(with_ids.drop("ids").collect())
+
+
 def one_by_one(lengths, size):
     """Best fit decreasing, piece by piece: how full each window is."""
     room = []
