@@ -10,6 +10,7 @@ its length and its number among the pieces of that length.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,11 +93,13 @@ def best_fit(counts: dict[int, int], size: int) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 6)
 
 
-def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of at most ``size`` ids: key, start, length, doc_tokens and ids (little-endian unsigned 32-bit), in a written table.
+def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+    """Pieces of at most ``size`` ids: key, start, length, doc_tokens, ids_crc32 and ids (little-endian unsigned 32-bit), in a written table.
 
     Full windows first, then what is left.  Null texts count as empty and have
-    the end id only; without an end id an empty document has no piece.
+    the end id only; without an end id an empty document has no piece.  With
+    ``ids`` false their checksums alone are written.  Repeated rows are cut
+    repeatedly, other columns are left out, and an empty table gives an empty one.
     """
     last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
@@ -105,7 +108,7 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
         table = byte_bpe(path)
         for batch in batches:
             for some in _portions(batch, 1):
-                which, start, length, total, ids = [], [], [], [], []
+                which, start, length, total, parts = [], [], [], [], []
                 for i, data in enumerate(table.many(some.column(1).to_pylist())):
                     data += last
                     n = len(data) // 4
@@ -114,11 +117,13 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
                         start.append(a)
                         length.append(min(size, n - a))
                         total.append(n)
-                        ids.append(data[4 * a: 4 * (a + size)])
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
-                                                 [key, "start", "length", "doc_tokens", "ids"])
+                        parts.append(data[4 * a: 4 * (a + size)])
+                columns = [some.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if ids else columns, names)
 
-    return written(docs.select(F.col(key), text_of(text).alias(text)).mapInArrow(run, f"`{key}` {kind}, start long, length long, doc_tokens long, ids binary"), "pieces")
+    shape = f"`{key}` {kind}, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
+    names = [key, "start", "length", "doc_tokens", "ids_crc32"] + (["ids"] if ids else [])
+    return written(docs.select(F.col(key), text_of(text).alias(text)).mapInArrow(run, shape), "pieces")
 
 
 def place(pieces: DataFrame, size: int = 1024, key: str = "doc_id") -> DataFrame:

@@ -34,9 +34,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.cut(table(spark, sf_dir, "documents"), BYTE_BPE)
-    narrow = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.place(narrow)
+    cut = packing.cut(table(spark, sf_dir, "documents"), BYTE_BPE, ids=False)
+    return packing.place(cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"))
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
