@@ -294,15 +294,17 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
             own = [[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found] for found, _ in read]
             yield pd.DataFrame({"own": own, "marks": [m for _, m in read], "sheet": [sheet_of(*x) for x in read]})
 
-    @F.pandas_udf("struct<found: array<string>, marks: array<int>, sheet: string>")
+    @F.pandas_udf("struct<number: array<int>, line: array<string>, sheet: string>")
     def parsed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """The lines that the page's own marks leave, and their numbers among all."""
         for part in parts:
-            yield pd.DataFrame([(f, m, sheet_of(f, m)) for f, m in map(lines, part)], columns=["found", "marks", "sheet"])
+            read = [(f, m, keep(m, ())) for f, m in map(lines, part)]
+            yield pd.DataFrame([(at, [f[i] for i in at], sheet_of(f, m)) for f, m, at in read], columns=["number", "line", "sheet"])
 
     @F.pandas_udf("string")
     def kept(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for found, marks, shared in parts:
-            yield pd.Series(["\n\n".join(f[i] for i in keep(list(m), s)) for f, m, s in zip(found, marks, shared, strict=True)], dtype=object)
+        for numbers, line, shared in parts:
+            yield pd.Series(["\n\n".join(x for i, x in zip(n, f, strict=True) if i not in gone) for n, f, gone in zip(numbers, line, map(set, shared), strict=True)], dtype=object)
 
     def differenced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a chunk lie together, in order; only the last chunk of a batch can go on in the next."""
@@ -328,6 +330,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     names = [free_name(pages.columns, x) for x in ("_host", "_shared")]
     ready = pages.select(*pages.columns, _host(url).alias(names[0]), parsed(body).alias(page))
     told = verdict.select(F.col("host").alias("h"), F.col("sheet").alias("s"), F.col("shared").alias(names[1]))
-    joined = ready.join(told, (F.col(names[0]) == F.col("h")) & (F.col(f"{page}.sheet") == F.col("s")), "left")
+    # The verdicts grow with the pages: they are merged at every size, never broadcast.
+    joined = ready.join(told.hint("merge"), (F.col(names[0]) == F.col("h")) & (F.col(f"{page}.sheet") == F.col("s")), "left")
     shared = F.coalesce(F.col(names[1]), F.array().cast("array<int>"))
-    return joined.select(*(ready[c] for c in pages.columns), kept(f"{page}.found", f"{page}.marks", shared).alias(out))
+    return joined.select(*(ready[c] for c in pages.columns), kept(f"{page}.number", f"{page}.line", shared).alias(out))
