@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stallwise.functions.match import explode_once
 from stallwise.operators.pages import unescape, without
 from stallwise.session import fresh_path
 
@@ -19,9 +20,17 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+#: Stands between the parts of a URL that is taken apart by one match.
+_MARK = "\u0001"
+
+
 def _parts(url: Column) -> Column:
     """Scheme, host, path and query with its mark; empty where absent."""
-    return F.struct(*[F.regexp_extract(url, _URL, k + 1).alias(name) for k, name in enumerate(("scheme", "host", "path", "query"))])
+    names = ("scheme", "host", "path", "query")
+    cut = _let(F.split(F.regexp_replace(url, _URL, _MARK.join(f"${k + 1}" for k in range(4))), _MARK),
+               lambda x: F.struct(*[F.when(F.size(x) == 4, F.get(x, F.lit(k))).otherwise("").alias(name) for k, name in enumerate(names)]))
+    each = F.struct(*[F.regexp_extract(url, _URL, k + 1).alias(name) for k, name in enumerate(names)])
+    return F.when(url.contains(_MARK) | url.isNull(), each).otherwise(cut)
 
 
 def host_of(url: Column) -> Column:
@@ -38,30 +47,38 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), closed).otherwise(path)
 
 
+def _built(p: Column) -> Column:
+    """Host and canonical URL of the parts of one."""
+    scheme = F.lower(p["scheme"])
+    implied = F.create_map(*[F.lit(x) for pair in _PORTS.items() for x in (pair[0], ":" + pair[1])])
+    bare = F.regexp_replace(F.lower(p["host"]), ":$", "")
+    port = F.coalesce(F.try_element_at(implied, scheme), F.lit("::"))
+    host = F.when(F.endswith(bare, port), F.left(bare, F.length(bare) - F.length(port))).otherwise(bare)
+    dotted = p["path"].contains("/.") | p["path"].startswith(".")
+    path = F.when(p["path"] == "", F.lit("/")).when(dotted, without_dots(p["path"])).otherwise(p["path"])
+    known = (scheme != "") & (bare != "")
+    return F.struct(F.when(known, host).alias("host"), F.when(known, F.concat(scheme, F.lit("://"), host, path, p["query"])).alias("url"))
+
+
+def _target(r: Column, b: Column) -> Column:
+    """The parts of a reference's target, from its own and those of the absolute URL it is seen from."""
+    own = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
+    named, placed = r["scheme"] != "", (r["scheme"] != "") | (r["host"] != "")
+    path = (F.when(placed, r["path"]).when(r["path"] == "", own).when(r["path"].startswith("/"), r["path"])
+            .otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), r["path"])))
+    query = F.when(~placed & (r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+    return F.struct(F.when(named, r["scheme"]).otherwise(b["scheme"]).alias("scheme"), F.when(placed, r["host"]).otherwise(b["host"]).alias("host"),
+                    path.alias("path"), query.alias("query"))
+
+
 def canonical(url: Column) -> Column:
     """Lower-case scheme and host, no default port, no dot segments, no fragment, ``/`` for an empty path; NULL without scheme or host."""
-    def built(p: Column) -> Column:
-        scheme = F.lower(p["scheme"])
-        implied = F.create_map(*[F.lit(x) for pair in _PORTS.items() for x in (pair[0], ":" + pair[1])])
-        bare = F.regexp_replace(F.lower(p["host"]), ":$", "")
-        port = F.coalesce(F.try_element_at(implied, scheme), F.lit("::"))
-        host = F.when(F.endswith(bare, port), F.left(bare, F.length(bare) - F.length(port))).otherwise(bare)
-        path = F.when(p["path"] == "", F.lit("/")).otherwise(without_dots(p["path"]))
-        return F.when((scheme != "") & (bare != ""), F.concat(scheme, F.lit("://"), host, path, p["query"]))
-    return _let(_parts(url), built)
+    return _let(_parts(url), _built)["url"]
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """The canonical target of a reference seen from an absolute URL: a scheme, an authority, a rooted path, a path, a query, or nothing."""
-    def target(x: Column) -> Column:
-        r, b, raw = x["r"], x["b"], x["raw"]
-        origin = F.concat(b["scheme"], F.lit("://"), b["host"])
-        own = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
-        return (F.when(r["scheme"] != "", raw).when(r["host"] != "", F.concat(b["scheme"], F.lit(":"), raw))
-                .when(r["path"] == "", F.concat(origin, own, F.when(r["query"] == "", b["query"]).otherwise(r["query"])))
-                .when(r["path"].startswith("/"), F.concat(origin, r["path"], r["query"]))
-                .otherwise(F.concat(origin, F.regexp_replace(own, "[^/]*$", ""), r["path"], r["query"])))
-    return canonical(_let(F.struct(_parts(ref).alias("r"), _parts(base).alias("b"), ref.alias("raw")), target))
+    return _let(_let(F.struct(_parts(ref).alias("r"), _parts(base).alias("b")), lambda x: _target(x["r"], x["b"])), _built)["url"]
 
 
 def link_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -72,10 +89,14 @@ def link_table(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """
     body = F.regexp_replace(without(html, ["script", "style"]), "(?s)<!--.*?-->", "")
     refs = F.regexp_extract_all(body, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
-    each = pages.select(F.col(url).alias("base"), F.explode(F.array_distinct(refs)).alias("ref"))
-    bare = F.trim(unescape(F.regexp_replace("ref", "^[\"']|[\"']$", "")))
-    named = each.select(canonical(F.col("base")).alias("src"), resolve(F.col("base"), bare).alias("dst"))
-    return named.filter((host_of(F.col("src")) == host_of(F.col("dst"))) & (F.col("src") != F.col("dst")) & F.col("dst").rlike("^https?:")).distinct()
+    # Each step is an array that is exploded once: a filter on its result isn't pushed below it, where it would be computed again.
+    own = pages.select(html, _parts(F.col(url)).alias("base"))
+    each = explode_once(own.select("base", _let(F.col("base"), _built).alias("src"), html), "ref", F.array_distinct(refs))
+    quoted = F.col("ref").startswith('"') | F.col("ref").startswith("'")
+    bare = F.trim(unescape(F.when(quoted, F.col("ref").substr(F.lit(2), F.length("ref") - 2)).otherwise(F.col("ref"))))
+    named = explode_once(each.select("base", "src", bare.alias("ref")), "dst", F.array(_let(_let(_parts(F.col("ref")), lambda r: _target(r, F.col("base"))), _built)))
+    same = named.filter((F.col("src.host") == F.col("dst.host")) & (F.col("src.url") != F.col("dst.url")) & F.col("dst.url").rlike("^https?:"))
+    return same.select(F.col("src.url").alias("src"), F.col("dst.url").alias("dst")).distinct()
 
 
 def first_by(rows: DataFrame, column: str, k: int) -> DataFrame:
@@ -96,25 +117,31 @@ def first_by(rows: DataFrame, column: str, k: int) -> DataFrame:
     return dealt.drop("_range")
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def crawl(pages: DataFrame, links: DataFrame, starts: DataFrame, depth: int, max_pages: int | None = None, url: str = "url") -> DataFrame:
     """``page`` and ``level`` of the pages that a breadth-first crawl gets from ``starts`` (page), at most ``depth`` links away.
 
     A link to a page that isn't stored is passed over.  With ``max_pages`` the
     crawl ends after that many pages, in the order of level and URL.  Each round
-    meets only the newest pages; rounds are stored, so plans stay short and lost
-    executors are replaced.
+    meets only the newest pages; pages, links and rounds are stored, so that no
+    page is read for its links twice, plans stay short and lost executors are replaced.
     """
     spark = pages.sparkSession
-    known = pages.select(canonical(F.col(url)).alias("page")).filter("page is not null").distinct()
+    known = _stored(pages.select(canonical(F.col(url)).alias("page")).filter("page is not null").distinct(), "known")
+    # A link to a page that isn't stored leads nowhere, at whatever level.
+    links = _stored(links.join(known.select(F.col("page").alias("dst")), "dst", "left_semi").select("src", "dst"), "links") if depth else links
     newest = starts.select(canonical(F.col("page")).alias("page")).distinct().join(known, "page", "left_semi")
     seen, count = None, 0
     for level in range(depth + 1):
         if level:
             found = links.join(newest.select(F.col("page").alias("src")), "src", "left_semi").select(F.col("dst").alias("page")).distinct()
-            newest = found.join(known, "page", "left_semi").join(seen.select("page"), "page", "left_anti")
-        path = fresh_path(spark, "level")
-        newest.write.parquet(path)
-        newest = spark.read.parquet(path)
+            newest = found.join(seen.select("page"), "page", "left_anti")
+        newest = _stored(newest, "level")
         size = newest.count()
         if max_pages is not None and count + size > max_pages:
             newest, size = first_by(newest, "page", max_pages - count), max_pages - count

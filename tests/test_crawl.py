@@ -42,3 +42,22 @@ def test_crawl_levels_budget_and_rings(spark):
     assert of(W.crawl(pages, links, start, 9, max_pages=2)) == {"s": 0, "a": 1}
     assert of(W.crawl(pages, links, start, 0)) == {"s": 0}
     assert of(W.crawl(pages.limit(0), links.limit(0), start, 3)) == {}
+
+
+def test_pages_are_read_for_links_once(spark, monkeypatch):
+    pages = spark.createDataFrame([("http://h.h/a", "<a href=/b>b</a>"), ("http://h.h/b", "<a href=/c>c</a>"), ("http://h.h/c", "")], "url string, html string")
+    links = W.link_table(pages)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    read = spark.sparkContext.accumulator(0)
+    counted = links.rdd.map(lambda r: read.add(1) or r).toDF(links.schema)
+    start = spark.createDataFrame([("http://h.h/a",)], "page string")
+    assert W.crawl(pages, counted, start, 3).count() == 3 and read.value == 2
+
+
+def test_parts_of_odd_urls(spark):
+    odd = ["http://a.b/x\u0001y?q#f", "http://a.b/x\ny", "http://a.b/x#f\ng", "//h", "", "?q", "a:b:c", "http://u@h:8/p;x?y?z", "$1", "a\\b"]
+    rows = spark.createDataFrame([(u,) for u in odd] + [(None,)], "u string")
+    each = F.struct(*[F.regexp_extract("u", W._URL, k + 1).alias(n) for k, n in enumerate(("scheme", "host", "path", "query"))])
+    for r in rows.select(W._parts(F.col("u")).alias("got"), each.alias("want")).collect():
+        assert r["got"] == r["want"]
