@@ -6,7 +6,7 @@ fixed number of hash buckets), each word is filed under its piece of least
 count, and a text is scanned once for those heads alone.  Where a head is found,
 the letters around it that a word would fill are cut out and joined to the
 words by equality, which also verifies the match.  Texts are never shuffled:
-what travels is the id and a string as long as a word.
+what travels is the id and a string as long as a word, or a run between blanks.
 """
 
 from __future__ import annotations
@@ -71,12 +71,8 @@ def heads(words: DataFrame, word: str, counts: DataFrame) -> DataFrame:
     return counted.groupBy("_word").agg(rarest.alias("m")).select("_word", F.col("m.head").alias("_head"), F.col("m.off").alias("_off"))
 
 
-def found_words(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, word: str, shapes_at_once: int = SHAPES) -> DataFrame:
-    """``keys`` and ``word`` of every pair in which the text contains the word, each pair once.
-
-    Exact and case-sensitive, for words and texts of any length.  Null and empty
-    texts and words meet nothing; texts that share their keys count as one.
-    """
+def _scanned(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, word: str, shapes_at_once: int) -> DataFrame:
+    """``found_words`` by the pieces of whole windows."""
     lengths = words.select(F.length(word).alias("n")).filter("n > 0")
     top = lengths.agg(F.max("n").alias("longest"), F.sort_array(F.collect_set(F.least("n", F.lit(WIDTH)))).alias("widths")).first()
     longest, widths = top["longest"] or 1, top["widths"]
@@ -100,3 +96,39 @@ def found_words(texts: DataFrame, keys: Sequence[str], text: str, words: DataFra
     # A string that reaches into the padding is no word of real letters.
     return reduce(DataFrame.unionByName, candidates).join(filed.filter(~F.col("_word").contains(PAD)), F.col("_found") == F.col("_word")).select(
         *keys, F.col("_word").alias(word)).distinct()
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def found_words(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, word: str, shapes_at_once: int = SHAPES) -> DataFrame:
+    """``keys`` and ``word`` of every pair in which the text contains the word, each pair once.
+
+    Exact and case-sensitive, for words and texts of any length.  Null and empty
+    texts and words meet nothing; texts that share their keys count as one.
+
+    A word without a blank lies inside one run of a text between blanks, so such
+    words are looked for in the distinct runs of all texts, and texts meet them
+    by their runs.  Words with a blank, and runs too long to be words of a
+    language, go through whole windows.
+    """
+    size, w = F.length(word), F.col(word)
+    blank = w.contains(" ")
+    facts = words.filter(size > 0).agg(F.min(F.when(~blank, size)).alias("least"), F.max(size).alias("most"), F.max(blank).alias("blank")).first()
+    if facts["least"] is None:
+        return _scanned(texts, keys, text, words, word, shapes_at_once)
+    limit = max(256, 4 * facts["most"])
+    runs = explode_once(texts.filter(F.length(text) > 0).select(*keys, F.array_distinct(F.split(text, " ")).alias("_runs")), "_run", F.col("_runs")).select(*keys, "_run")
+    runs = runs.filter(F.length("_run") >= facts["least"])
+    # A null stands for all runs above the limit.
+    every = _stored(runs.select(F.when(F.length("_run") <= limit, F.col("_run")).alias("_run")).distinct(), "runs")
+    met = _stored(_scanned(every.filter("_run is not null"), ["_run"], "_run", words.filter(~blank), word, shapes_at_once), "met")
+    found = [runs.join(met, "_run").select(*keys, word)]
+    if not every.filter("_run is null").isEmpty():
+        found.append(_scanned(runs.filter(F.length("_run") > limit), keys, "_run", words.filter(~blank), word, shapes_at_once))
+    if facts["blank"]:
+        found.append(_scanned(texts, keys, text, words.filter(blank), word, shapes_at_once))
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -32,3 +32,15 @@ def test_texts_are_not_shuffled(spark):
         if "Exchange hashpartitioning" in line:
             assert "_win" not in line and "t#" not in line.replace("hint", "")
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_words_are_looked_for_in_distinct_runs(spark, monkeypatch):
+    """Runs of many texts are scanned once; words with blanks and long runs still meet whole texts."""
+    scanned = []
+    old = R._scanned
+    monkeypatch.setattr(R, "_scanned", lambda texts, *a: scanned.append(texts.count()) or old(texts, *a))
+    t = spark.createDataFrame([(i, f"same running, words {i % 3} and more") for i in range(50)] + [(50, "x" * 700 + "running" + "y" * 700)], "id int, t string")
+    w = spark.createDataFrame([("running",), ("unni",), ("d mor",), ("absent",)], "w string")
+    got = sorted((r["w"], r["id"]) for r in R.found_words(t, ["id"], "t", w, "w").collect())
+    assert got == [("d mor", i) for i in range(50)] + [("running", i) for i in range(51)] + [("unni", i) for i in range(51)]
+    assert scanned == [4, 1, 51]
