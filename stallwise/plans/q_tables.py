@@ -16,6 +16,8 @@ from stallwise.sources import readers as R, writers as O
 
 _CARD = schemas.fields(schemas.CARD)
 _PICK = "tech_name, version, display_name, author, price_cents, rating_stars, review_count, total_purchases, last_month_purchases"
+#: Profiles of one compressed file, which one task reads; a partner with many pages of clients repeats its fields in each.
+PROFILES = 1_000_000
 _day = lambda c: F.date_format(c, "yyyy-MM-dd")
 
 
@@ -114,7 +116,7 @@ def src_partner_json(spark, sf):
     """A profile for each partner and page of up to a thousand clients."""
     path = fresh_path(spark, "profiles")
     V.partner_pages(spark, sf).select(F.col("name").alias("partner_name"), F.col("country").alias("location"), "website", "email", "phone",
-                                 F.col("grade").alias("certification"), "employees", "industries", "clients", "description").write.json(path)
+                                 F.col("grade").alias("certification"), "employees", "industries", "clients", "description").write.option("maxRecordsPerFile", PROFILES).json(path, compression="gzip")
     return R.read_partner_profiles(spark, path, multi_line=False).select(
         "partner_name", "location", "email", "employees", F.array_join("industries", ",").alias("industries"), F.array_join("clients", ",").alias("clients"))
 

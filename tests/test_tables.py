@@ -91,3 +91,11 @@ def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
 
 def test_missing_table_is_created_empty(spark):
     assert A.widen(spark, None, schemas.SCORE).count() == 0
+
+
+def test_partner_profiles_are_stored_compressed(spark, sf, tmp_path, monkeypatch):
+    from stallwise.plans import q_tables as Q
+    monkeypatch.setattr(Q, "fresh_path", lambda spark, name: str(tmp_path / name))
+    Q.src_partner_json(spark, sf)
+    stored = [f.name for f in (tmp_path / "profiles").iterdir() if f.name.startswith("part-")]
+    assert stored and all(f.endswith(".json.gz") for f in stored)
