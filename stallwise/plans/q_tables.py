@@ -18,6 +18,8 @@ _CARD = schemas.fields(schemas.CARD)
 _PICK = "tech_name, version, display_name, author, price_cents, rating_stars, review_count, total_purchases, last_month_purchases"
 #: Profiles of one compressed file, which one task reads; a partner with many pages of clients repeats its fields in each.
 PROFILES = 1_000_000
+#: Cards of one array, some 270 MB: more than one task reads at a time, and what a single task may write.
+ARRAY_CARDS = 1_000_000
 _day = lambda c: F.date_format(c, "yyyy-MM-dd")
 
 
@@ -38,16 +40,23 @@ def src_run_meta(spark, sf):
     return R.read_run_meta(spark, path).select("run_id", _day("started_at").alias("started_at"), F.col("finished_at").isNotNull().alias("finished"))
 
 
+def write_arrays(lines, path, at_most=ARRAY_CARDS):
+    """Records (``value``) as JSON arrays in files of their own, each written by one task; an empty object ends an array."""
+    files = max(1, -(-lines.count() // at_most))
+    part = F.pmod(F.xxhash64("value"), F.lit(files)).cast("int")
+    spark = lines.sparkSession
+    ends = spark.range(files).select(F.col("id").cast("int").alias("part"), F.explode(F.expr("map(0, '[', 2, '{}]')")).alias("at", "value"))
+    rows = lines.select(part.alias("part"), F.lit(1).alias("at"), F.concat("value", F.lit(",")).alias("value")).unionByName(ends)
+    rows.repartition(files, "part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+
+
 @query("src_json_array", f"SELECT {_PICK}, detail_url FROM listings")
 def src_json_array(spark, sf):
-    """Cards as one array in one file, read by several tasks."""
-    lines, one = fresh_path(spark, "lines"), fresh_path(spark, "array")
-    cards = V.listings(spark, sf).select(*_CARD)
-    text = F.concat(F.to_json(F.struct(*_CARD)), F.lit(","))
-    cards.select(text.alias("value")).coalesce(1).write.option("lineSep", "\n").text(lines)
-    ends = [spark.createDataFrame([(v,)], "value string").coalesce(1) for v in ("[", "{}]")]
-    ends[0].unionByName(spark.read.text(lines)).unionByName(ends[1]).coalesce(1).write.text(one)
-    return read_json_array(spark, one, schemas.CARD).filter("tech_name IS NOT NULL").select(*_PICK.split(", "), "detail_url")
+    """Cards as one array in one file, read by several tasks; of more than ``ARRAY_CARDS`` cards, as several such files of like size."""
+    lines, arrays = fresh_path(spark, "lines"), fresh_path(spark, "array")
+    V.listings(spark, sf).select(F.to_json(F.struct(*_CARD)).alias("value")).write.parquet(lines)
+    write_arrays(spark.read.parquet(lines), arrays)
+    return read_json_array(spark, arrays, schemas.CARD).filter("tech_name IS NOT NULL").select(*_PICK.split(", "), "detail_url")
 
 
 @query("src_run_discovery", "SELECT 'day=' || strftime(started_at, '%Y-%m-%d') AS day, 'run=' || run_id AS run, run_id = 'run-3' AS is_latest FROM runs")

@@ -93,6 +93,18 @@ def test_missing_table_is_created_empty(spark):
     assert A.widen(spark, None, schemas.SCORE).count() == 0
 
 
+def test_arrays_are_written_by_tasks_of_bounded_size(spark, tmp_path):
+    import json
+    from stallwise.plans import q_tables as Q
+    lines = spark.range(25).select(F.to_json(F.struct(F.col("id").alias("b"))).alias("value"))
+    Q.write_arrays(lines, str(tmp_path / "many"), at_most=10)
+    many = [json.loads(f.read_text()) for f in (tmp_path / "many").rglob("*.txt")]
+    assert len(many) == 3 and all(a[-1] == {} for a in many) and sorted(r["b"] for a in many for r in a[:-1]) == list(range(25))
+    Q.write_arrays(lines, str(tmp_path / "one"), at_most=25)
+    assert len(list((tmp_path / "one").rglob("*.txt"))) == 1
+    assert sorted(r["b"] for r in Q.read_json_array(spark, str(tmp_path / "many"), "b bigint").filter("b is not null").collect()) == list(range(25))
+
+
 def test_partner_profiles_are_stored_compressed(spark, sf, tmp_path, monkeypatch):
     from stallwise.plans import q_tables as Q
     monkeypatch.setattr(Q, "fresh_path", lambda spark, name: str(tmp_path / name))
