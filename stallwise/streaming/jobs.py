@@ -42,24 +42,52 @@ def sessions(stream: DataFrame, by: str, at: str, gap: str, delay: str = "1 hour
 SESSION = "start timestamp, last timestamp, n long, final boolean"
 
 
+#: Groups that users are dealt to; each is one call a batch, over all its users at once.
+USER_GROUPS = 1024
+
+
+def _merged_spans(spans, gap: int):
+    """Spans (``key``, ``first``, ``last``, ``n``, ``held``) at most ``gap`` apart put together per key, and the place of each span's own among them.
+
+    ``held`` is then true where a span is a held one that nothing was added to.
+    """
+    import numpy as np
+    import pandas as pd
+    spans = spans.assign(code=pd.factorize(spans["key"], use_na_sentinel=False)[0]).sort_values(["code", "first"], ignore_index=True)
+    if spans.empty:
+        return spans.drop(columns="code"), spans, np.zeros(0, "int64")
+    first, code, ends = (spans[c].to_numpy() for c in ("first", "code", "last"))
+    reach = spans.groupby("code")["last"].cummax().to_numpy()
+    new = np.append(True, (code[1:] != code[:-1]) | (first[1:] > reach[:-1] + gap))
+    starts, own = np.flatnonzero(new), np.cumsum(new) - 1
+    alone = np.diff(np.append(starts, len(spans))) == 1
+    out = pd.DataFrame({"key": spans["key"].to_numpy()[starts], "first": first[starts], "last": np.maximum.reduceat(ends, starts),
+                        "n": np.add.reduceat(spans["n"].to_numpy(), starts), "held": spans["held"].to_numpy()[starts] & alone})
+    return out, spans, own
+
+
+def _spans(key, first, last, n, held: bool):
+    import pandas as pd
+    out = pd.DataFrame({"key": pd.Series(key, dtype=object), "first": pd.Series(first, dtype="int64"), "last": pd.Series(last, dtype="int64"), "n": pd.Series(n, dtype="int64")})
+    return out.assign(held=held)
+
+
 def merged_sessions(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
     """(first, last, count) spans that lie at most ``gap`` apart, put together."""
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in sorted(spans):
-        if out and first <= out[-1][1] + gap:
-            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
-        else:
-            out.append((first, last, n))
-    return out
+    out, _, _ = _merged_spans(_spans([0] * len(spans), *([s[k] for s in spans] for k in range(3)), False), gap)
+    return list(zip(*(out[c].tolist() for c in ("first", "last", "n")), strict=True))
 
 
-def live_sessions(stream: DataFrame, by: str, at: str, gap_seconds: int, delay: str = "1 hour") -> DataFrame:
+def live_sessions(stream: DataFrame, by: str, at: str, gap_seconds: int, delay: str = "1 hour", groups: int = USER_GROUPS) -> DataFrame:
     """Sessions as they are known after each batch: ``by``, ``start``, ``last``, ``n`` and whether the session is ``final``.
 
     Open sessions come out provisionally whenever they change; a timer on event
     time closes them once the watermark has passed their end, and only open ones
     are kept as state.  A late event may join two sessions or move a start; the
     start that is gone then comes out with ``n`` 0.  ``latest_sessions`` folds the updates.
+
+    Values of ``by``, of a type that reads back from its text, are dealt to
+    ``groups``; a call handles all of a group, so that its cost is spread over them.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -67,29 +95,31 @@ def live_sessions(stream: DataFrame, by: str, at: str, gap_seconds: int, delay:
     gap = gap_seconds * 1_000_000
 
     def step(key: tuple, frames, state: GroupState):
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        events = [] if state.hasTimedOut else [(t, t, 1) for pdf in frames for t in pdf["_at"].tolist()]
-        now = merged_sessions([*held, *events], gap)
+        held = _spans(*state.get, True) if state.exists else _spans([], [], [], [], True)
+        new = _spans([], [], [], [], False)
+        for pdf in () if state.hasTimedOut else frames:
+            new, _, _ = _merged_spans(pd.concat([new, _spans(pdf["_key"], pdf["_at"], pdf["_at"], [1] * len(pdf), False)], ignore_index=True), gap)
+        now, old, own = _merged_spans(pd.concat([held, new], ignore_index=True), gap)
         mark = state.getCurrentWatermarkMs() * 1000
-        final = [s for s in now if s[1] + gap <= mark]
-        still = [s for s in now if s[1] + gap > mark]
-        before = set(held)
-        gone = {s[0] for s in held} - {s[0] for s in now}
-        out = [(*s, True) for s in final] + [(*s, False) for s in still if s not in before] + [(first, first, 0, True) for first in gone]
-        if still:
-            state.update(tuple(list(x) for x in zip(*still, strict=True)))
+        final = now["last"] + gap <= mark
+        still = now[~final]
+        gone = old[old["held"].to_numpy() & (old["first"].to_numpy() != now["first"].to_numpy()[own])]
+        out = pd.concat([now[final].assign(final=True), still[~still["held"]].assign(final=False), gone.assign(last=gone["first"], n=0, final=True)], ignore_index=True)
+        if len(still):
+            state.update(tuple(still[c].tolist() for c in ("key", "first", "last", "n")))
             # A timer has to lie after the watermark; it fires once the first of the open sessions has ended.
-            state.setTimeoutTimestamp(max(min(s[1] for s in still) + gap, mark + 1000) // 1000 + 1)
+            state.setTimeoutTimestamp(max(int(still["last"].min()) + gap, mark + 1000) // 1000 + 1)
         elif state.exists:
             state.remove()
-        rows = pd.DataFrame(out, columns=["start", "last", "n", "final"])
-        yield pd.DataFrame({by: [key[0]] * len(out), "start": pd.to_datetime(rows["start"], unit="us"), "last": pd.to_datetime(rows["last"], unit="us"),
-                            "n": rows["n"].astype("int64"), "final": rows["final"].astype(bool)})
-
-    kind = stream.schema[by].dataType.simpleString()
-    micros = stream.withWatermark(at, delay).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
-    return micros.select(by, at, "_at").groupBy(by).applyInPandasWithState(
-        step, f"`{by}` {kind}, {SESSION}", "first array<long>, last array<long>, n array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+        yield pd.DataFrame({"_key": out["key"], "start": pd.to_datetime(out["first"], unit="us"), "last": pd.to_datetime(out["last"], unit="us"),
+                            "n": out["n"].astype("int64"), "final": out["final"].astype(bool)})
+
+    kind = stream.schema[by].dataType
+    micros = stream.withWatermark(at, delay).withColumns({"_at": F.unix_micros(F.col(at).cast("timestamp")), "_key": F.col(by).cast("string"),
+                                                          "_group": F.pmod(F.xxhash64(by), F.lit(groups))})
+    found = micros.select("_group", "_key", at, "_at").groupBy("_group").applyInPandasWithState(
+        step, f"_key string, {SESSION}", "key array<string>, first array<long>, last array<long>, n array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("_key").cast(kind).alias(by), "start", "last", "n", "final")
 
 
 def latest_sessions(spark: SparkSession, path: str, by: str) -> DataFrame:

@@ -86,3 +86,18 @@ def test_live_sessions_join_and_retract(spark, tmp_path):
 
 def test_spans_merge_in_any_order():
     assert J.merged_sessions([(10, 12, 2), (0, 1, 1), (5, 6, 1), (3, 3, 1)], 2) == [(0, 6, 3), (10, 12, 2)]
+
+
+def test_users_of_a_group_share_a_call(spark, tmp_path):
+    """All users in one group of state, a null one too: the same sessions as with a group for each."""
+    folder, ddl = str(tmp_path / "in"), "u long, ts string"
+    batches = [[(u, f"2024-01-01 0{h}:00:00") for u in (1, 2, 2**60 + 1, None) for h in (0, 3)], [(2, "2024-01-01 03:30:00"), (None, "2024-01-01 09:00:00"), (7, "2024-01-01 09:00:00")]]
+    for rows in batches:
+        land(spark, folder, rows, ddl)
+    for groups in (1, 50):
+        out = str(tmp_path / f"out{groups}")
+        stream = spark.readStream.schema("u long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+        J.run_available(J.live_sessions(stream, "u", "ts", 3600, "2 hours", groups), sink=J.keep_updates(out), mode="update")
+        got = {(r["u"], str(r["start"])[11:16], str(r["last"])[11:16], r["n"]) for r in J.latest_sessions(spark, out, "u").collect()}
+        each = {(u, t, t, 1) for u in (1, 2, 2**60 + 1, None) for t in ("00:00", "03:00")} - {(2, "03:00", "03:00", 1)}
+        assert got == each | {(2, "03:00", "03:30", 2), (None, "09:00", "09:00", 1), (7, "09:00", "09:00", 1)}
