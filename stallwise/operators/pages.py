@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stallwise.functions.html import HEADINGS, read_page
+from stallwise.functions.match import explode_once
 from stallwise.session import shared_dir
 
 EXTRACT = "page_id bigint, url string, title string, h1 array<string>, h2 array<string>, h3 array<string>, paragraphs array<string>, list_items array<string>"
@@ -209,14 +210,15 @@ def references(pages: DataFrame) -> DataFrame:
     A line used as industry cannot be a company itself, so of neighbouring
     candidates every second one counts: a fold over the few candidates of a page.
     """
-    lines = F.filter(F.transform(F.split(page_text("html"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    # Trimmed lines without the empty ones, by one pattern over the page rather than a step for each line.
+    lines = F.split(F.btrim(F.regexp_replace(page_text("html"), " *\n[ \n]*", "\n"), F.lit(" \n")), "\n")
     rows = pages.select("page_id", lines.alias("l"))
     at = lambda i: F.get(F.col("l"), i)
 
     def candidate(i: Column) -> Column:
         company, nxt = at(i), at(i + 1)
         slashes = F.length(nxt) - F.length(F.replace(nxt, F.lit("/"), F.lit("")))
-        nav = F.exists(F.array(*[F.lit(w) for w in NAV_WORDS]), lambda w: F.lower(company).contains(w))
+        nav = F.lower(company).rlike("|".join(NAV_WORDS))
         return (nxt.contains(" / ") & (slashes <= 4) & (F.length(nxt) < 120) & (F.length(company) > 5) & (F.length(company) < 150)
                 & company.rlike(r"^\p{Lu}") & ~nav)
 
@@ -224,10 +226,10 @@ def references(pages: DataFrame) -> DataFrame:
     start = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("out"))
     kept = F.aggregate(found, start, lambda acc, i: F.when(
         i - acc["last"] >= 2, F.struct(i.alias("last"), F.array_append(acc["out"], i).alias("out"))).otherwise(acc))["out"]
-    each = rows.withColumn("i", F.explode(kept))
-    desc = at(F.col("i") + 2)
-    refs = each.select("page_id", F.col("i").alias("pos"), at(F.col("i")).alias("client_name"), at(F.col("i") + 1).alias("client_industry"),
-                       F.when(F.length(desc) > 20, F.substring(desc, 1, 300)).otherwise("").alias("description"))
+    # Only the three lines of a reference go on with it, not all lines of its page.
+    each = explode_once(rows, "r", F.transform(kept, lambda i: F.struct(i.alias("pos"), at(i).alias("client_name"), at(i + 1).alias("client_industry"), at(i + 2).alias("desc"))))
+    desc = F.col("r.desc")
+    refs = each.select("page_id", "r.pos", "r.client_name", "r.client_industry", F.when(F.length(desc) > 20, F.substring(desc, 1, 300)).otherwise("").alias("description"))
     first = W.partitionBy("page_id", F.lower("client_name")).orderBy("pos")
     return refs.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 

@@ -94,3 +94,11 @@ def test_frontier_levels_and_cap(spark):
 def test_max_page(spark):
     block = '<ul class="pagination"><li><a class="page-link" href="/x/page/7">n</a></li><li><a class="page-link" href="#"> 12 </a></li></ul>'
     assert [r["max_page"] for r in G.max_page(pages(spark, block, "<p>/page/9</p>")).orderBy("page_id").collect()] == [12, None]
+
+
+def test_a_reference_goes_on_without_the_lines_of_its_page(spark):
+    html = "<b> Top </b>" + "".join(f"<h5>  Client {i} </h5><p>Trade / X</p><p>  A description of client {i}&nbsp;</p>" for i in range(30)) + "<h5>Menu Corp</h5><p>Trade / X</p><h5>CLIENT 3</h5><p>A / B</p>"
+    refs = G.references(spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id int, html string"))
+    got = sorted((r["pos"], r["client_name"], r["client_industry"], r["description"]) for r in refs.collect())
+    assert got == [(1 + 3 * i, f"Client {i}", "Trade / X", f"A description of client {i}") for i in range(30)]
+    assert "l#" not in refs._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
