@@ -9,15 +9,20 @@ met again are carried over: that bounds memory and changes no result.
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain
+from string import ascii_letters
 
 import numpy as np
+import pyarrow as pa
 
 #: Fields of a table, and their characters, before it becomes the old one.
 TABLE, TABLE_CHARS = 450_000, 16_000_000
-#: Marks that are cut from the end of a word.
+#: Marks that are cut from the word before them.
 MARKS = ".,;:!?*#$%&"
+#: New pieces that are handed to the library at a time.
+CALL = 10_000
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -107,84 +112,112 @@ class ChunkTable:
         return self.many([text])[0]
 
 
-class ByteBpe(ChunkTable):
+class ByteBpe:
     """A byte-level BPE file of the tokenizers library, without special tokens added.
 
-    Its pattern starts a token before every run of white space, so a single
-    space between two other characters always begins a token.
+    Texts are cut in their bytes, all of a column at once, where the file's
+    pattern starts a token whatever comes before: at a run of blanks behind a
+    character that is no white space, behind a single line break, and at a mark
+    behind a letter.  A piece keeps its blanks in front, so the library gives
+    the same ids for it alone.  Each distinct piece of a column is looked up
+    once and its ids are taken by number.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tails: dict[str, bytes] = {}
-        self.line_break = self._library(["\n"])[0]
-
-    def whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.model = self.tokenizer.model
+        self.rest = _Known()
 
-    def segment(self, fields: list[str], head: bool) -> dict[str, bytes]:
-        """A single line break between two other characters is a token of its own, and what follows begins like a text."""
-        lines = {f: f.split("\n") for f in fields if "\n" in f}
-        if not lines:
-            return self._words(fields, head)
-        made = self._words([f for f in fields if f not in lines], head)
-        clear = {f: x for f, x in lines.items() if all(part and part.strip() == part for part in x)}
-        begins = self._words(list({x[0] for x in clear.values()}), head)
-        after = self._words(list({part for x in clear.values() for part in x[1:]}), True)
-        made.update((f, self.line_break.join([begins[x[0]], *[after[part] for part in x[1:]]])) for f, x in clear.items())
-        odd = [f for f in lines if f not in clear]
-        made.update(zip(odd, self._library(odd if head else [" " + f for f in odd]), strict=True))
-        return made
-
-    def _words(self, fields: list[str], head: bool) -> dict[str, bytes]:
-        """Ids of fields without line breaks, at the beginning of a text or line or behind a space.
-
-        The pattern also starts a token between a letter and the marks that end a field, so fields share the word before these.
-        """
-        table = self.heads if head else self.rest
-        cut: dict[str, str] = {}
-        for f in fields:
-            if f[-1] in MARKS:
-                word = f.rstrip(MARKS)
-                if word and word[-1].isalpha():
-                    cut[f] = word
-        words = {cut.get(f, f) for f in fields} if cut else set(fields)
-        new = list(words.difference(table.ids))
-        new += [w for w in words & table.ids.keys() if table.ids[w] is None]
-        found = dict(zip(new, self._by_lines(new, "" if head else " "), strict=True))
-        table.add(found)
-        known = table.ids
-        plain = {f: known[f] for f in fields if f not in cut} if cut else {f: known[f] for f in fields}
-        plain.update((f, known[w] + self._tail(f[len(w):])) for f, w in cut.items())
-        return plain
-
-    def _tail(self, marks: str) -> bytes:
-        if marks not in self.tails:
-            found = self._library([marks])[0]
-            if len(marks) > 8:
-                return found
-            self.tails[marks] = found
-        return self.tails[marks]
-
-    def _by_lines(self, words: list[str], before: str) -> list[bytes]:
-        """The library's ids of many words, a few hundred in one text, a line each: a break between lines is one token."""
-        groups = [words[k: k + 400] for k in range(0, len(words), 400)]
-        texts = ["\n".join([before + w for w in group]) for group in groups]
-        out: list[bytes] = []
-        mark = np.frombuffer(self.line_break, "<u4")[0]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            breaks = (np.flatnonzero(ids == mark) * 4).tolist()
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *[x + 4 for x in breaks]], [*breaks, len(data)], strict=True)]
-        return out
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, with the end of the last; null texts count as empty."""
+        self.rest.turn()
+        data, bounds = _bytes_of(texts)
+        at = _starts(data, bounds)
+        if not len(at):
+            return np.zeros(0, "<u4"), bounds
+        cut = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        pieces = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.rest.ids
+        self._learn(self.rest.missing({p for p in pieces if p not in known}))
+        taken = pa.array([known[p] for p in pieces], pa.large_binary()).take(cut.indices)
+        _, ends, ids = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(at) + 1)
+        return np.frombuffer(ids, "<u4", int(ends[-1]) // 4), ends[np.searchsorted(at, bounds)] // 4
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Segments new pieces: a word of Latin letters is one token of the pattern, so the library's model alone tells its ids."""
+        words = list(filter(_WORD, pieces))
+        for k in range(0, len(words), CALL):
+            some = words[k: k + CALL]
+            letters = _ALPHABET[np.frombuffer("\0".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le").split(chr(_ALPHABET[0]))
+            self.rest.add(dict(zip(some, _packed_each([[t.id for t in self.model.tokenize(w)] for w in letters]), strict=True)))
+        others = list(pieces.difference(words))
+        for k in range(0, len(others), CALL):
+            some = others[k: k + CALL]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.rest.add(dict(zip(some, _packed_each([e.ids for e in found]), strict=True)))
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return _packed_each([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    def ids(self, text: str) -> bytes:
+        return self.rows(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and where each begins, with the end of the last; nothing is copied."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, bounds, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type)
+    bounds = np.frombuffer(bounds, np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[bounds[0]: bounds[-1]], bounds - bounds[0]
+
+
+def _starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at the first byte of each text that has one, and at the cuts of ``ByteBpe``."""
+    kind = _KIND[data]
+    before, here = kind[:-1], kind[1:]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (here == _BLANK) & (before != _BLANK) & (before != _WHITE) | (here == _MARK) & ((before == _LETTER) | (before == _HIGH))
+    # Behind a character of several bytes, what it is decides.
+    doubtful = np.flatnonzero(cut[1:-1] & (before == _HIGH)) + 1
+    first, second, third = (data[np.maximum(doubtful - k, 0)].astype(np.int32) for k in (3, 2, 1))
+    pair = second << 8 | third
+    letter = ((second >= 0xC3) & (second <= 0xC9) | (second == 0xD0) | (second == 0xD1)) & (pair != 0xC397) & (pair != 0xC3B7)
+    white = np.isin(pair, _WHITE_PAIRS) | np.isin(first << 16 | pair, _WHITE_TRIPLES)
+    cut[doubtful] = np.where(kind[doubtful] == _MARK, letter, ~white)
+    cut[bounds] = True
+    breaks = np.flatnonzero((data == _BREAK) & cut[:-1])
+    breaks = breaks[breaks + 1 < len(data)] + 1
+    cut[breaks[_CLEAR[data[breaks]]]] = True
+    return np.flatnonzero(cut[:-1])
+
+
+#: What a byte is: a blank at which pieces are cut, a mark, an ASCII letter, part of another character, other ASCII white space.
+_BLANK, _MARK, _LETTER, _HIGH, _WHITE = range(1, 6)
+_BREAK = ord("\n")
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x80:] = _HIGH
+for _chars, _kind in ((" \n", _BLANK), (MARKS, _MARK), (ascii_letters, _LETTER), ("\t\v\f\r\x1c\x1d\x1e\x1f", _WHITE)):
+    _KIND[[ord(c) for c in _chars]] = _kind
+#: White space of two and three bytes.
+_WHITE_PAIRS, _WHITE_TRIPLES = ([int.from_bytes(c.encode()) for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if (c.isspace() or c == "\u180e") and len(c.encode()) == n]
+                                for n in (2, 3))
+#: Bytes that never begin white space.
+_CLEAR = ~np.isin(_KIND, (_BLANK, _WHITE)) & ~np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: The characters that stand for bytes in the file, and words that are one token of its pattern.
+_ALPHABET = np.arange(256, dtype="<u4")
+_NAMED = np.isin(_ALPHABET, [*range(33, 127), *range(161, 173), *range(174, 256)])
+_ALPHABET[~_NAMED] = np.arange(256, 256 + np.sum(~_NAMED))
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """What ``ByteBpe.rows`` gives, with one more id behind each text."""
+    if end_id is None:
+        return ids, bounds
+    return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
 class Pieces(ChunkTable):

@@ -109,8 +109,9 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
         for batch in batches:
             for some in _portions(batch, 1):
                 which, start, length, total, parts = [], [], [], [], []
-                for i, data in enumerate(table.many(some.column(1).to_pylist())):
-                    data += last
+                found, at = table.rows(some.column(1))
+                for i, (begin, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    data = found[begin:end].tobytes() + last
                     n = len(data) // 4
                     for a in range(0, n, size):
                         which.append(i)

@@ -21,13 +21,14 @@ from stallwise.llm.chunks import _packed, sentence_pieces
 ROWS, BYTES = 500, 4 << 20
 
 
-def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, column: int, rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, in slices of bounded size."""
+    rows = rows or ROWS
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     total = np.append(0, np.cumsum(sizes))
     at = 0
     while at < batch.num_rows:
-        to = min(at + ROWS, max(at + 1, int(np.searchsorted(total, total[at] + BYTES, side="right")) - 1))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(total, total[at] + BYTES, side="right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.chunks import byte_bpe
+from stallwise.llm.chunks import byte_bpe, with_end
 from stallwise.llm.common import text_of
 from stallwise.llm.pieces import _portions
 
@@ -30,17 +30,15 @@ def write(docs: DataFrame, target: str, path: str, end_id: int | None = 2, key:
     the same schema.
     """
     kind = docs.schema[key].dataType
-    last = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, row = byte_bpe(path), TaskContext.get().partitionId(), 0
-        end = np.array(last, "<u4").tobytes()
         for batch in batches:
-            for some in _portions(batch, 1):
-                data = [d + end for d in table.many(some.column(1).to_pylist())]
-                n = np.fromiter((len(d) // 4 for d in data), np.int32, len(data))
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), some.column(0), pa.array(n.astype(np.int64)), ids],
+            for some in _portions(batch, 1, batch.num_rows):
+                data, ends = with_end(*table.rows(some.column(1)), end_id)
+                n = np.diff(ends)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(data.view("<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), some.column(0), pa.array(n), ids],
                                                  ["part", "row", key, "n_tokens", "ids"])
                 row += len(n)
 

@@ -51,6 +51,52 @@ def test_long_fields_fill_the_table_too(monkeypatch):
     assert table.rest.chars < 100
 
 
+class Counting:
+    """The library, and how many characters its texts had."""
+
+    def __init__(self, library):
+        self.library, self.chars = library, 0
+
+    def _counted(self, texts):
+        self.chars += sum(map(len, texts))
+
+    def encode(self, text, **how):
+        self._counted([text])
+        return self.library.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self._counted(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_texts_with_doubled_blanks_are_cut_too():
+    table = chunks.ByteBpe(BPE)
+    table.tokenizer = counting = Counting(table.tokenizer)
+    text = "One  more line,\n\nand a café; naïve!!!\nThen\n  some\tmore. " * 300
+    assert np.frombuffer(table.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert counting.chars < 300
+
+
+def test_words_are_segmented_once_whatever_ends_their_line():
+    table = chunks.ByteBpe(BPE)
+    words = [f"w{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}" for k in range(100)]
+    text = " ".join(f"{a}.\n{b}" for a in words for b in words)
+    assert np.frombuffer(table.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert len(table.rest.ids) <= 2 * len(words) + 3
+
+
+ODD = st.lists(st.sampled_from([" ", "\n", "\t", "\r\n", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "The", "é", "×", "ß", "Ж", "日", "”", "—", "µ", "ʰ", ".", "!!", ";", "'s", "7", "<|endoftext|>", None]), max_size=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ODD, max_size=5), st.sampled_from([pa.string(), pa.large_string()]), st.integers(0, 2))
+def test_columns_of_texts_are_cut_as_single_ones(made, kind, skip):
+    texts = [None if None in t else "".join(t) for t in made]
+    ids, bounds = chunks.with_end(*chunks.byte_bpe(BPE).rows(pa.array(texts, kind).slice(skip)), 0)
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [[*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 0] for t in texts[skip:]]
+
+
 def test_checksums_without_ids(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     with_ids, without = packing.cut(docs, BPE), packing.cut(docs, BPE, ids=False)
