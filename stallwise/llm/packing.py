@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallwise.llm.chunks import byte_bpe
-from stallwise.llm.common import text_of, written
+from stallwise.llm.chunks import byte_bpe, with_end
+from stallwise.llm.common import ragged, text_of, written
 from stallwise.llm.pieces import _portions
 
 #: Pieces of a bucket, within which pieces of one length are numbered in one task.
@@ -101,26 +101,22 @@ def cut(docs: DataFrame, path: str, size: int = 1024, end_id: int | None = 0, ke
     ``ids`` false their checksums alone are written.  Repeated rows are cut
     repeatedly, other columns are left out, and an empty table gives an empty one.
     """
-    last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_bpe(path)
         for batch in batches:
-            for some in _portions(batch, 1):
-                which, start, length, total, parts = [], [], [], [], []
-                found, at = table.rows(some.column(1))
-                for i, (begin, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    data = found[begin:end].tobytes() + last
-                    n = len(data) // 4
-                    for a in range(0, n, size):
-                        which.append(i)
-                        start.append(a)
-                        length.append(min(size, n - a))
-                        total.append(n)
-                        parts.append(data[4 * a: 4 * (a + size)])
-                columns = [some.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if ids else columns, names)
+            for some in _portions(batch, 1, batch.num_rows):
+                data, ends = with_end(*table.rows(some.column(1)), end_id)
+                total = np.diff(ends)
+                count = -(-total // size)
+                which = np.repeat(np.arange(len(total)), count)
+                start = ragged(count) * size
+                length = np.minimum(size, total[which] - start)
+                first = ends[which] + start
+                parts = [data[a:b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                columns = [some.column(0).take(pa.array(which)), pa.array(start), pa.array(length), pa.array(total[which]), pa.array(map(zlib.crc32, parts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in parts], pa.binary())] if ids else columns, names)
 
     shape = f"`{key}` {kind}, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
     names = [key, "start", "length", "doc_tokens", "ids_crc32"] + (["ids"] if ids else [])

@@ -152,6 +152,16 @@ def test_packing(spark, docs):
     assert packing.place(packing.cut(docs.limit(0), BPE)).count() == 0
 
 
+def test_pieces_of_a_batch_are_those_of_each_text(spark, docs):
+    got: dict = {}
+    for r in packing.cut(docs, BPE, size=7, end_id=None).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"], bytes(r["ids"])))
+    for i, t in enumerate(TEXTS):
+        ids = TOKENIZER.encode(t or "", add_special_tokens=False).ids
+        parts = [(a, np.array(ids[a: a + 7], "<u4").tobytes()) for a in range(0, len(ids), 7)]
+        assert sorted(got.get(i - 1 if i else None, [])) == [(a, len(p) // 4, len(ids), zlib.crc32(p), p) for a, p in parts]
+
+
 def test_many_equal_lengths_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET", 7)
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11 + 1).cast("long").alias("length"))
